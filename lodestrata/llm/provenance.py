@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from lodestrata.session import Workspace
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 HAND, GEN, MIN, VEND, BLOB = range(5)
+DIR_WEIGHT = 10.0
 
 # ---------------------------------------------------------------- evidence of one file
 
@@ -128,9 +128,9 @@ def directory_evidence(name: str) -> list[float]:
     """Log potentials of the labels for a directory, from its name alone; whole names only."""
     e = [0.0, -3.0, -4.0, -3.0, -5.0]
     if _GEN_DIR.match(name):
-        e[GEN] += 8.0
+        e[GEN] += DIR_WEIGHT
     if _VEND_DIR.match(name):
-        e[VEND] += 8.0
+        e[VEND] += DIR_WEIGHT
     return e
 
 
@@ -138,22 +138,19 @@ def directory_evidence(name: str) -> list[float]:
 
 #: log compatibility of a directory's label (row) with a child's (column): children mostly are what their directory is
 _DIR_DIR = [[0.0 if a == b else (-0.7 if a == HAND else -3.0) for b in range(5)] for a in range(5)]
-_DIR_FILE = [[0.0 if a == b else {HAND: -0.2, GEN: -6.0, MIN: -1.5, VEND: -6.0, BLOB: -1.5}[a] for b in range(5)] for a in range(5)]
+_DIR_FILE = [[0.0 if a == b else {HAND: -0.2, GEN: -7.0, MIN: -1.5, VEND: -7.0, BLOB: -1.5}[a] for b in range(5)] for a in range(5)]
 
 
-def _message(terms: list[str], table: list[list[float]], to: int) -> str:
-    """SQL: log sum over the sender's labels of exp(term + compatibility), for one label of the receiver."""
-    parts = [f"({t}) + ({table[a][to]})" for a, t in enumerate(terms)]
-    top = f"greatest({', '.join(parts)})"
-    return f"{top} + ln({' + '.join(f'exp(({p}) - {top})' for p in parts)})"
+def _messages(df: DataFrame, keep: list[str], terms: list[str], table: list[list[float]], name: str, up: bool) -> DataFrame:
+    """keep and name0..name4: log sum over the sender's labels of exp(term + compatibility), per label of the receiver.
 
-
-def _columns(terms: list[str], table: list[list[float]], name: str, up: bool) -> list[str]:
-    t = [list(r) for r in zip(*table)] if up else table  # up: the sender is the child, a column of the table
-    out = []
-    for to in range(5):
-        out.append(f"{_message(terms, t, to)} AS {name}{to}")
-    return out
+    up: the sender is the child, a column of the table. Arrays keep the expression small enough for generated code.
+    """
+    rows = [list(r) for r in zip(*table)] if up else table
+    to = ", ".join("array(" + ", ".join(f"{rows[x][y]}D" for x in range(5)) + ")" for y in range(5))
+    held = df.selectExpr(*keep, f"array({', '.join(terms)}) AS _t").withColumn("_top", F.array_max("_t"))
+    sums = f"transform(array({to}), c -> _top + ln(aggregate(zip_with(_t, c, (x, y) -> exp(x + y - _top)), 0D, (s, v) -> s + v)))"
+    return held.selectExpr(*keep, f"{sums} AS _m").selectExpr(*keep, *[f"_m[{i}] AS {name}{i}" for i in range(5)])
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -169,7 +166,7 @@ def classify(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     ws = Workspace(spark, "provenance")
     src = files.filter(F.col("id").isNotNull()).select("id", "content")
-    cols = [f"e{i}" for i in range(5)]
+    cols, beliefs = [f"e{i}" for i in range(5)], [f"b{i}" for i in range(5)]
 
     def run(batches):
         for b in batches:
@@ -190,15 +187,15 @@ def classify(files: DataFrame) -> DataFrame:
 
     # directories with their depth; every ancestor of a file's directory once
     segs = F.split("dir", "/")
-    dirs = leaf.select("dir").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))).alias("dir"), ).distinct()
+    dirs = leaf.select("dir").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))).alias("dir")).distinct()
     last = F.substring_index("dir", "/", -1)
     parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", ""))
     gen = F.lower(last).rlike(_GEN_DIR.pattern)
     vend = F.lower(last).rlike(_VEND_DIR.pattern)
     root = ~F.col("dir").contains("/")
     base = directory_evidence("")
-    pot = [F.lit(x) + (F.when(gen & ~root, 8.0).otherwise(0.0) if i == GEN else F.when(vend & ~root, 8.0).otherwise(0.0) if i == VEND else F.lit(0.0)) for i, x in enumerate(base)]
-    up_leaf = leaf.selectExpr("dir", *_columns([f"e{i}" for i in range(5)], _DIR_FILE, "m", True)).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
+    pot = [F.lit(x) + (F.when(gen & ~root, DIR_WEIGHT).otherwise(0.0) if i == GEN else F.when(vend & ~root, DIR_WEIGHT).otherwise(0.0) if i == VEND else F.lit(0.0)) for i, x in enumerate(base)]
+    up_leaf = _messages(leaf, ["dir"], cols, _DIR_FILE, "m", True).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
     node = dirs.select("dir", parent.alias("parent"), F.size(segs).alias("depth"), *[p.alias(f"d{i}") for i, p in enumerate(pot)])
     node = node.join(up_leaf, "dir", "left").select("dir", "parent", "depth", *[(F.col(f"d{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)])
     node = ws.write(node)
@@ -209,7 +206,7 @@ def classify(files: DataFrame) -> DataFrame:
     for d in range(deepest, 0, -1):
         own = node.filter(F.col("depth") == d)
         if below is not None:
-            got = below.selectExpr("parent AS at", *_columns([f"b{i}" for i in range(5)], _DIR_DIR, "m", True)).groupBy("at").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
+            got = _messages(below, ["parent"], beliefs, _DIR_DIR, "m", True).withColumnRenamed("parent", "at").groupBy("at").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
             own = own.join(got, F.col("dir") == F.col("at"), "left").select("dir", "parent", "depth", *[(F.col(f"b{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)])
         levels[d] = below = ws.write(own)
     # down: what a child hears from its parent leaves out what it said itself
@@ -219,15 +216,15 @@ def classify(files: DataFrame) -> DataFrame:
         if d == 1:
             full = own.select("dir", *[f"b{i}" for i in range(5)])
         else:
-            said = own.selectExpr("dir", "parent", *[f"b{i}" for i in range(5)], *_columns([f"b{i}" for i in range(5)], _DIR_DIR, "m", True))
+            said = _messages(own, ["dir", "parent", *beliefs], beliefs, _DIR_DIR, "m", True)
             up = above.select(F.col("dir").alias("at"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(5)])
-            heard = said.join(up, F.col("parent") == F.col("at")).selectExpr("dir", *[f"b{i}" for i in range(5)], *_columns([f"p{i} - m{i}" for i in range(5)], _DIR_DIR, "h", False))
+            heard = _messages(said.join(up, F.col("parent") == F.col("at")), ["dir", *beliefs], [f"p{i} - m{i}" for i in range(5)], _DIR_DIR, "h", False)
             full = heard.select("dir", *[(F.col(f"b{i}") + F.col(f"h{i}")).alias(f"b{i}") for i in range(5)])
         above = ws.write(full)
         done = above if done is None else done.unionByName(above)
-    said = leaf.selectExpr("id", "dir", *cols, *_columns(cols, _DIR_FILE, "m", True))
+    said = _messages(leaf, ["id", "dir", *cols], cols, _DIR_FILE, "m", True)
     up = (done if done is not None else node.select("dir", *[f"b{i}" for i in range(5)])).select(F.col("dir").alias("at"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(5)])
-    heard = said.join(up, F.col("dir") == F.col("at"), "left").selectExpr("id", *cols, *_columns([f"coalesce(p{i}, 0) - m{i}" for i in range(5)], _DIR_FILE, "h", False))
+    heard = _messages(said.join(up, F.col("dir") == F.col("at"), "left"), ["id", *cols], [f"coalesce(p{i} - m{i}, 0D)" for i in range(5)], _DIR_FILE, "h", False)
     belief = heard.select("id", *[(F.col(f"e{i}") + F.col(f"h{i}")).alias(f"b{i}") for i in range(5)])
     top = F.greatest(*[f"b{i}" for i in range(5)])
     label = F.coalesce(*[F.when(F.col(f"b{i}") == top, LABELS[i]) for i in range(5)])

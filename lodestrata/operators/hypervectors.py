@@ -46,10 +46,14 @@ def xor_words(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-@F.pandas_udf("array<bigint>")
-def words_of(hv: pd.Series) -> pd.Series:
+def words_of(hv: Column) -> Column:
     """Words of a binary vector; NULL for lengths that aren't whole words."""
-    return hv.map(lambda b: None if b is None or len(b) % 8 else np.frombuffer(b, dtype="<i8"))
+
+    @F.pandas_udf("array<bigint>")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda b: None if b is None or len(b) % 8 else np.frombuffer(b, dtype="<i8"))
+
+    return run(hv)
 
 
 def rotate(words: Column, by: Column) -> Column:

@@ -20,8 +20,8 @@ _DEFS = {
     "go": re.compile(r"^func\s+(?:\([^)]*?(\w+)\)\s+)?(\w+)\s*[\[(]|^type\s+()(\w+)", re.M),
     "rust": re.compile(r"\bfn\s+()(\w+)|\b(?:struct|enum|trait|type|union)\s+()(\w+)"),
     "javascript": re.compile(r"\bfunction\s*\*?\s+()([\w$]+)|\bclass\s+()([\w$]+)"),
-    "java": re.compile(r"\b(?:class|interface|enum|record)\s+()(\w+)|(?:public|private|protected|static|final|abstract|synchronized|\s)+[\w<>\[\],.? ]+\s+()(\w+)\s*\([^;{)]*\)\s*(?:throws [\w, .]+)?\{"),
-    "c": re.compile(r"^[A-Za-z_][\w \t*]*?[ \t*]()(\w+)\s*\([^;{]*\)\s*\{|\b(?:struct|enum|union)\s+()(\w+)\s*\{", re.M),
+    "java": re.compile(r"\b(?:class|interface|enum|record)[ \t]+()(\w+)|^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)[ \t]+)+(?:<[^>\n]*>[ \t]*)?[\w.]+(?:<[^(\n]*>)?(?:\[\])*[ \t]+()(\w+)[ \t]*\(", re.M),
+    "c": re.compile(r"^[A-Za-z_]\w*(?:[ \t]+\w+){0,6}[ \t*]+()(\w+)[ \t]*\([^;{}()]*\)\s*\{|\b(?:struct|enum|union)[ \t]+()(\w+)\s*\{", re.M),
     "bash": re.compile(r"^\s*(?:function\s+)?()([\w-]+)\s*\(\)", re.M),
 }
 _DEFS["typescript"] = re.compile(_DEFS["javascript"].pattern + r"|\b(?:interface|enum)\s+()([\w$]+)")

@@ -36,12 +36,17 @@ def readable(files: DataFrame) -> DataFrame:
     return files.filter(F.col("content").isNotNull() & (F.octet_length("content") <= MAX_BYTES) & ~F.hex(head).rlike("^(?:..)*?00"))
 
 
-def select_query(spark: SparkSession, sql: str, limit: int = 1000) -> tuple[DataFrame, bool]:
-    """Rows of a read-only statement, at most `limit` of them, and whether there were more. Cells keep their types."""
-    word = sql.lstrip(" \t\r\n(").split(None, 1)[0].lower() if sql.strip() else ""
+def read_only(spark: SparkSession, sql: str) -> DataFrame:
+    """A statement's rows; statements that write are refused. Cells keep their types."""
+    word = sql.lstrip(" \t\r\n(").split(None, 1)[0].lower() if sql.strip(" \t\r\n(") else ""
     if word not in ("select", "with", "values", "table", "from", "show", "describe", "desc", "explain"):
         raise ValueError("only statements that read are allowed")
-    df = spark.sql(sql)
+    return spark.sql(sql)
+
+
+def select_query(spark: SparkSession, sql: str, limit: int = 1000) -> tuple[DataFrame, bool]:
+    """At most `limit` rows of a read-only statement, and whether there were more (the cap is the surface's feature)."""
+    df = read_only(spark, sql)
     return df.limit(limit), df.limit(limit + 1).count() > limit
 
 

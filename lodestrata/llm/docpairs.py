@@ -71,7 +71,7 @@ def _python():
     body = choice(doc, seq(star(term(rb"[ \t]*+(?:\#[^\n]*+)?\r?\n"), 1), _BLANKS, doc))
     define = seq(opt(seq(head, _EOL, _BLANKS)), star(attr), start, opt(seq(signature, opt(body))))
     here = seq(at_line_start, ahead(term(rb"[\#@]|(?:async[ \t]+)?def[ \t]")), define)
-    skip = term(rb"(?:[^\"'\#@da\\]++|[rRbBuUfF]{0,2}" + string + rb"|\\.|(?<![\n \t])[@da]|(?<=[ \t])(?<![\n ][ \t])(?<![\n \t][ \t])[@da]|d(?!ef[ \t])|a(?!sync[ \t]+def[ \t]))++")
+    skip = term(rb"(?:[^\"'\#@da\\]++|[rRbBuUfF]{0,2}" + string + rb"|\\.|(?<=[^\n \t\xbf])[@da]|(?<=[ \t])(?<![\n ][ \t])(?<![\n \t][ \t])[@da]|d(?!ef[ \t])|a(?!sync[ \t]+def[ \t]))++")
     return star(choice(skip, here, comment, _ANY))
 
 
@@ -135,6 +135,8 @@ def _lines(raw: bytes, mark: str) -> list[str]:
     out = []
     for x in text.splitlines():
         x = x.strip()
+        if x.startswith("#!"):
+            continue
         x = re.sub(r"^(?:/\*+!?|//+!?|\#+(?!!)|\*(?!/))", "", x)
         out.append(re.sub(r"\*+/$", "", x).strip())
     return out
@@ -213,11 +215,11 @@ def documented(content: bytes, language: str):
     for lo, hi, after, docs in out:
         if not docs:
             continue
-        lines = [x for mark, raw in docs if not (mark == "block" and raw.startswith(b"#!")) for x in _lines(raw, mark)]
+        lines = [x for mark, raw in docs for x in _lines(raw, mark)]
         head = re.split(rb"\{|:[ \t]*\r?\n|;", after, maxsplit=1)[0][:600].decode("utf-8", "replace")
         if informative(tuple(lines), head):
             text = "\n".join(x for x in lines).strip()
-            row = content.count(b"\n", 0, lo)
+            row = content.count(b"\n", 0, lo) + (docs[0][0] == "block")
             last = content.count(b"\n", 0, hi)
             found += [(r, lo, hi, text) for r in range(row, last + 1)]
     return found

@@ -135,7 +135,7 @@ def lex_go(text: str):
     semi, close = GO.kinds[";"], (GO.kinds[")"], GO.kinds["}"])
     out, new = [], set()
     for i, k in enumerate(toks):
-        if (i in breaks or k == 0) and out and out[-1] in _GO_ENDS and k != 0:
+        if (i in breaks or k == 0) and out and out[-1] in _GO_ENDS:
             out.append(semi)
         if k in close and out and out[-1] == semi and i in breaks:
             # `Stmts` and lists allow the closing bracket right after their last entry

@@ -32,7 +32,7 @@ def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
             lo = mid
         else:
             hi = mid
-    got |= at(hi)
+    got |= at(hi * (1 + 1e-9))  # equal quotients at the divisor itself are left to the heap, in order of names
     heap = [(-w / (2 * got[k] + 1), k) for k, w in live.items() if got[k] < cap(k)]
     heapq.heapify(heap)
     for _ in range(seats - sum(got.values())):

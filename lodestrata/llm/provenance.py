@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -44,9 +45,23 @@ _DATA_LINE = re.compile(r"[\s\[{(]*+(?:\d+\s*:\s*)?[\[({]*+(?:(?:[bru]?\"[^\"\s]
 _MASK = re.compile(r"\d+")
 
 
+#: log likelihood of a content that shows no mark of a label
+_UNMARKED = [0.0, -3.0, -4.0, -1.8, -4.5]
+
+
 def evidence(path: str, content: bytes | None) -> list[float]:
-    """Log potentials of the five labels for a file, from its name and content (the head, the end, and its whole shape)."""
-    e = [0.0, -4.2, -4.8, -4.2, -5.2]  # prior: nearly all files are hand-written
+    """Log potentials of the five labels for a file, from its name and content (the head, the end, and its whole shape).
+
+    A label without any mark in a content loses by that (a copy bears none rather often); where there is no content only the name speaks.
+    """
+    e = _marks(path, content)
+    if content and content.strip():
+        e = [u if x == 0 else x for x, u in zip(e, _UNMARKED)]
+    return e
+
+
+def _marks(path: str, content: bytes | None) -> list[float]:
+    e = [0.0] * 5
     name = path.rsplit("/", 1)[-1]
     parts = name.split(".")
     if _GEN_NAME.search(name):
@@ -110,7 +125,7 @@ def evidence(path: str, content: bytes | None) -> list[float]:
     # mechanical text: neighbouring lines that differ in digits only
     masked = [_MASK.sub("0", x.strip()) for x in code]
     same = sum(a == b and "0" in a for a, b in zip(masked, masked[1:]))
-    if same >= 2 and len(code) >= 5 and e[BLOB] < 0:
+    if same >= 2 and len(code) >= 5 and e[BLOB] == 0:
         e[GEN] += 6.5 if same >= 0.08 * len(code) else 1.0
     return e
 
@@ -126,7 +141,7 @@ def fingerprint(content: bytes | None) -> bytes | None:
 
 def directory_evidence(name: str) -> list[float]:
     """Log potentials of the labels for a directory, from its name alone; whole names only."""
-    e = [0.0, -3.0, -4.0, -3.0, -5.0]
+    e = [0.0] * 5
     if _GEN_DIR.match(name):
         e[GEN] += DIR_WEIGHT
     if _VEND_DIR.match(name):
@@ -136,9 +151,19 @@ def directory_evidence(name: str) -> list[float]:
 
 # ---------------------------------------------------------------- propagation
 
-#: log compatibility of a directory's label (row) with a child's (column): children mostly are what their directory is
-_DIR_DIR = [[0.0 if a == b else (-0.7 if a == HAND else -3.0) for b in range(5)] for a in range(5)]
-_DIR_FILE = [[0.0 if a == b else {HAND: -0.2, GEN: -7.0, MIN: -1.5, VEND: -7.0, BLOB: -1.5}[a] for b in range(5)] for a in range(5)]
+
+def _normed(row: list[float]) -> list[float]:
+    """Log probabilities: a child without evidence then says nothing about its directory."""
+    z = math.log(sum(map(math.exp, row)))
+    return [x - z for x in row]
+
+
+#: log potentials of a repository's root: nearly all are hand-written
+_ROOT = [0.0, -5.5, -6.0, -5.5, -6.5]
+#: log compatibility of a directory's label (row) with a child directory's and a child file's (column): children mostly are
+#: what their directory is; other things appear among hand-written ones now and then, hardly ever the other way round
+_DIR_DIR = [_normed(r) for r in [_ROOT] + [[0.0 if a == b else -7.0 if a in (GEN, VEND) else -3.0 for b in range(5)] for a in range(1, 5)]]
+_DIR_FILE = [_normed(r) for r in [[0.0, -3.5, -4.2, -4.2, -4.8]] + [[0.0 if a == b else -7.0 if a in (GEN, VEND) else -1.5 if b == HAND else -3.0 for b in range(5)] for a in range(1, 5)]]
 
 
 def _messages(df: DataFrame, keep: list[str], terms: list[str], table: list[list[float]], name: str, up: bool) -> DataFrame:
@@ -180,7 +205,7 @@ def classify(files: DataFrame) -> DataFrame:
     repos = seen.filter(F.col("print").isNotNull()).select("print", F.substring_index("id", "/", 1).alias("repo")).distinct()
     copies = repos.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("print").alias("copied"), "n")
     leaf = seen.join(copies, F.col("print") == F.col("copied"), "left").groupBy("id").agg(*[F.avg(c).alias(c) for c in cols], F.max("n").alias("n"))
-    leaf = leaf.withColumn(f"e{VEND}", F.col(f"e{VEND}") + F.when(F.col("n") > 1, 6.0).otherwise(0.0))
+    leaf = leaf.withColumn(f"e{VEND}", F.col(f"e{VEND}") + F.when(F.col("n") > 1, 9.5).otherwise(0.0))
     leaf = leaf.withColumn("dir", F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise(F.lit("")))
     leaf = ws.write(leaf.select("id", "dir", *cols))
     ws.drop(seen)
@@ -193,8 +218,7 @@ def classify(files: DataFrame) -> DataFrame:
     gen = F.lower(last).rlike(_GEN_DIR.pattern)
     vend = F.lower(last).rlike(_VEND_DIR.pattern)
     root = ~F.col("dir").contains("/")
-    base = directory_evidence("")
-    pot = [F.lit(x) + (F.when(gen & ~root, DIR_WEIGHT).otherwise(0.0) if i == GEN else F.when(vend & ~root, DIR_WEIGHT).otherwise(0.0) if i == VEND else F.lit(0.0)) for i, x in enumerate(base)]
+    pot = [F.when(root, F.lit(_ROOT[i])).otherwise(0.0) + (F.when(gen & ~root, DIR_WEIGHT).otherwise(0.0) if i == GEN else F.when(vend & ~root, DIR_WEIGHT).otherwise(0.0) if i == VEND else F.lit(0.0)) for i in range(5)]
     up_leaf = _messages(leaf, ["dir"], cols, _DIR_FILE, "m", True).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
     node = dirs.select("dir", parent.alias("parent"), F.size(segs).alias("depth"), *[p.alias(f"d{i}") for i, p in enumerate(pot)])
     node = node.join(up_leaf, "dir", "left").select("dir", "parent", "depth", *[(F.col(f"d{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)])

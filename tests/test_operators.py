@@ -211,3 +211,42 @@ def test_walk_and_manifests(spark, tmp_path):
     assert {tuple(r) for r in S.manifests(df).select("kind", "name", "version").collect()} == {("package", "q", "1.0"), ("dependency", "serde", "1")}
     idx = df.select(F.col("id").alias("path"), F.col("mtime_ns").alias("mtime"), "size").filter("path != 'a.go'").unionByName(spark.createDataFrame([("old", 1, 1)], "path string, mtime long, size long"))
     assert {(r.path, r.state) for r in S.changed_files(df, idx).collect()} == {("a.go", "new"), ("old", "deleted")}
+
+
+def test_tree_encoding_equals_recursion(spark):
+    from lodestrata.operators import encoding as N
+
+    rows = [("f/p", "f", "program", 0), ("f/p/a", "f", "call", 9), ("f/p/b", "f", "call", 3), ("f/p/b/x", "f", "id", 4), ("f/p/b/y", "f", "id", 6), ("g/p", "g", "program", 0), ("g/p", "g", "program", 0)]
+    kids = {"f/p": ["f/p/b", "f/p/a"], "f/p/b": ["f/p/b/x", "f/p/b/y"]}
+    kind = {r[0]: r[2] for r in rows}
+
+    def hv(n):
+        v = H.expand_seed(N.seed_of(kind[n], len(kids.get(n, []))))
+        for i, c in enumerate(kids.get(n, [])):
+            v = v ^ H.rotate_bits(hv(c), i + 1)
+        return v
+
+    got = {r.source_id: np.array(r.hv, dtype="<i8").tobytes() for r in N.encode_trees(spark.createDataFrame(rows, "node_id string, source_id string, node_kind string, start_byte long")).collect()}
+    assert got == {"f": hv("f/p").tobytes(), "g": hv("g/p").tobytes()}
+
+
+def test_indexes_and_proofs(spark):
+    from lodestrata.operators import surface as U
+
+    v = U.VectorIndex(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "node_id string, embedding array<double>"), 2)
+    v.upsert(spark.createDataFrame([("a", [0.0, 2.0]), ("c", [5.0, 5.0])], "node_id string, embedding array<double>"))
+    assert len(v) == 3 and v.get("a").first().embedding == [0.0, 2.0]
+    q = spark.createDataFrame([("q", [0.0, 1.9])], "node_id string, embedding array<double>")
+    assert [r.neighbour for r in v.search(q, 2).orderBy("rank").collect()] == ["a", "b"]
+    with pytest.raises(Exception):
+        U.VectorIndex(q, 3).df.collect()
+    t = U.TextIndex(spark.createDataFrame([(1, "red fox"), (2, "red red dog"), (3, None)], "doc_id int, text string"))
+    assert [r.item for r in t.search("RED").orderBy("rank").collect()] == [2, 1] and t.search("").count() == 0 and t.search("red", 0).count() == 0
+    assert len(t.remove(spark.createDataFrame([(2,)], "doc_id int")).upsert(spark.createDataFrame([(1, "x"), (9, "y")], "doc_id int, text string"))) == 3
+    leaves = [hashlib.sha256(bytes([i])).digest() for i in range(7)]
+    level = leaves
+    while len(level) > 1:
+        nxt = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
+        level = nxt + level[len(nxt) * 2 :]
+    for i, leaf in enumerate(leaves):
+        assert U.merkle_verify(leaf, U.merkle_proof(leaves, i), level[0]) and not U.merkle_verify(b"x" * 32, U.merkle_proof(leaves, i), level[0])

@@ -124,9 +124,17 @@ def call_edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return sites.join(defs.select("token", F.col("node_id").alias("callee")).distinct(), "token").groupBy(F.col("container_node_id").alias("caller"), "callee").agg(F.sum("n_sites").alias("n_sites"))
 
 
-def token_map(df: DataFrame, token: str = "token", node: str = "node_id") -> DataFrame:
-    """Token -> sorted distinct node ids. A token's ids form one row by the meaning of the map."""
-    return df.filter(F.col(token).isNotNull()).select(token, node).distinct().groupBy(token).agg(F.sort_array(F.collect_list(node)).alias("node_ids"))
+def token_map(df: DataFrame, token: str = "token", node: str = "node_id", per_row: int = 1000) -> DataFrame:
+    """(token, repository, part, node_ids): each token's distinct node ids in order, at most `per_row` of them to a row.
+
+    A token may hold a third of all rows, so its ids are numbered per repository and never gathered in one row or task.
+    The map of a token is the union of its rows. NULL tokens and ids are left out.
+    """
+    from pyspark.sql import Window as W
+
+    ids = df.filter(F.col(token).isNotNull() & F.col(node).isNotNull()).select(token, node, F.substring_index(node, "/", 1).alias("repository")).distinct()
+    part = F.floor((F.row_number().over(W.partitionBy(token, "repository").orderBy(node)) - 1) / per_row)
+    return ids.withColumn("part", part).groupBy(token, "repository", "part").agg(F.sort_array(F.collect_list(node)).alias("node_ids"))
 
 
 def fan_out(refs: DataFrame) -> DataFrame:
@@ -178,13 +186,16 @@ def needs_enrichment(files: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def inspect_symbol(token: str, defs: DataFrame, refs: DataFrame, ast: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row: definitions, kind of the first one (by source and node), distinct callers, hover, certainty."""
+    """One row: number of definitions, kind of the first one (by source and node), distinct callers, hover, certainty.
+
+    The definitions themselves are `definitions_with_spans` of the token, as rows.
+    """
     d = definitions_with_spans(defs.filter(F.col("token") == token), ast)
-    dd = d.agg(F.array_sort(F.collect_list(F.struct("source_id", "node_id", "node_kind", "kind", "start_row", "end_row"))).alias("definitions"))
+    dd = d.agg(F.count(F.lit(1)).cast("int").alias("n_definitions"), F.min(F.struct("source_id", "node_id", "kind")).alias("first"))
     callers = refs.filter((F.col("token") == token) & F.col("container_node_id").isNotNull()).agg(F.count(F.lit(1)).alias("n_references"), F.countDistinct("container_node_id").alias("n_callers"))
     hover = symbols.join(d.select("node_id").distinct(), "node_id", "left_semi").agg(F.max("detail").alias("hover"))
     return dd.crossJoin(callers).crossJoin(hover).select(  # three single rows
-        F.lit(token).alias("symbol"), F.size("definitions").alias("n_definitions"), F.coalesce(F.try_element_at("definitions", F.lit(1))["kind"], F.lit("unknown")).alias("kind"), "n_references", "n_callers", "hover",
+        F.lit(token).alias("symbol"), "n_definitions", F.coalesce("first.kind", F.lit("unknown")).alias("kind"), "n_references", "n_callers", "hover",
         F.when(F.col("hover").isNotNull(), "full").otherwise("partial").alias("certainty"),
     )
 

@@ -153,9 +153,10 @@ def refs_call_edges(s, d):
     return A.call_edges(table(s, d, "node_refs"), _defs(s, d))
 
 
-@query("SELECT token, list_sort(list(DISTINCT node_id)) AS node_ids FROM (SELECT def_token AS token, node_id FROM lsp_defs WHERE def_token IS NOT NULL) GROUP BY token")
+@query("""SELECT token, repository, part, list(node_id ORDER BY node_id) AS node_ids FROM (SELECT *, (row_number() OVER (PARTITION BY token, repository ORDER BY node_id) - 1) // 100 AS part
+FROM (SELECT DISTINCT def_token AS token, node_id, split_part(node_id, '/', 1) AS repository FROM lsp_defs WHERE def_token IS NOT NULL AND node_id IS NOT NULL)) GROUP BY 1, 2, 3""")
 def defs_token_map(s, d):
-    return A.token_map(table(s, d, "lsp_defs").withColumnRenamed("def_token", "token"))
+    return A.token_map(table(s, d, "lsp_defs").withColumnRenamed("def_token", "token"), per_row=100)
 
 
 @query("SELECT container_node_id, count(*) AS n_refs, count(DISTINCT token) AS n_tokens FROM node_refs WHERE container_node_id IS NOT NULL GROUP BY 1")

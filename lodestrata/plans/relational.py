@@ -100,11 +100,15 @@ def window_session(s, d):
 
 @query("""SELECT e.event_id, p.event_id AS last_purchase FROM events e ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error'""")
 def join_as_of(s, d):
-    """As-of join by a running maximum over both sides in order of time; no pairs are formed."""
-    e = table(s, d, "events").filter("event_type IN ('purchase', 'error')")
-    p = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
-    w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
-    return e.withColumn("p", F.max(p).over(w)).filter("event_type = 'error' AND p IS NOT NULL").select("event_id", F.col("p.event_id").alias("last_purchase"))
+    """As-of join without pairs: a running maximum within each user's day, and the last purchase of earlier days from one
+    row per user and day, so that the events of a busy user are many days' tasks and not one."""
+    e = table(s, d, "events").filter("event_type IN ('purchase', 'error')").select("event_id", "user_id", "ts", "event_type", F.date_trunc("day", "ts").alias("day"))
+    bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
+    within = W.partitionBy("user_id", "day").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy("user_id").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = e.groupBy("user_id", "day").agg(F.max(bought).alias("last")).select("user_id", "day", F.max("last").over(before).alias("earlier"))
+    j = e.withColumn("p", F.max(bought).over(within)).filter("event_type = 'error'").join(days, ["user_id", "day"])
+    return j.select("event_id", F.coalesce("p", "earlier").alias("p")).filter("p IS NOT NULL").select("event_id", F.col("p.event_id").alias("last_purchase"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")

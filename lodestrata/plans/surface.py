@@ -36,11 +36,13 @@ def meta_schema(s, d):
     return U.describe({t: table(s, d, t) for t in _NAMES}).select("table", "column", "position")
 
 
-@query("""WITH f AS (SELECT min(source_id) AS source_id FROM ast_nodes WHERE node_kind = 'class_declaration'), n AS (SELECT node_id FROM ast_nodes WHERE source_id = (SELECT source_id FROM f) AND start_row <= 9 AND (start_row < 9 OR start_col <= 4) AND (end_row > 9 OR (end_row = 9 AND end_col >= 4)) ORDER BY end_byte - start_byte, node_id LIMIT 1)
+@query("""WITH f AS (SELECT a.source_id, a.start_row, a.start_col FROM ast_nodes a WHERE a.node_id = (SELECT min(l.node_id) FROM lsp_defs l JOIN ast_nodes x ON x.node_id = l.node_id) LIMIT 1),
+n AS (SELECT a.node_id FROM ast_nodes a, f WHERE a.source_id = f.source_id AND (a.start_row < f.start_row OR (a.start_row = f.start_row AND a.start_col <= f.start_col)) AND (a.end_row > f.start_row OR (a.end_row = f.start_row AND a.end_col >= f.start_col)) ORDER BY a.end_byte - a.start_byte, a.node_id LIMIT 1)
 SELECT node_id, def_token, def_uri FROM lsp_defs WHERE node_id IN (SELECT node_id FROM n)""")
 def lsp_defs_at(s, d):
-    a = table(s, d, "ast_nodes")
-    return U.at_position(table(s, d, "lsp_defs"), a, a.filter("node_kind = 'class_declaration'").agg(F.min("source_id")).first()[0], 9, 4).select("node_id", "def_token", "def_uri")
+    a, defs = table(s, d, "ast_nodes"), table(s, d, "lsp_defs")
+    first = a.join(defs.select("node_id").distinct(), "node_id", "left_semi").orderBy("node_id").first()
+    return U.at_position(defs, a, first["source_id"], first["start_row"], first["start_col"]).select("node_id", "def_token", "def_uri")
 
 
 @query()

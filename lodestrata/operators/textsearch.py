@@ -16,14 +16,15 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, item, score, rank): the k best documents of every query (columns query, q_text), ties by smaller key.
 
-    Only terms that some query has are looked at after counting lengths, so postings of other terms never meet the join.
+    Words that no query has are dropped before they are counted, so their postings are never shuffled.
     Empty queries and k = 0 have no results.
     """
-    post = postings(docs, key, text)
     lengths = docs.filter(F.col(text).isNotNull()).select(key, F.size(F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda w: w != "")).alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     wanted = queries.select("query", F.explode(F.array_distinct(F.filter(F.split(F.lower("q_text"), "[^a-z0-9_]+"), lambda w: w != ""))).alias("term"))
-    hit = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9_]+"), lambda w: w != "")
+    occurring = docs.filter(F.col(text).isNotNull()).select(key, F.explode(words).alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    hit = occurring.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(lengths, key).join(df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -278,6 +278,28 @@ def graph_components(s, d):
     return G.components(o.select(F.col("o_custkey").alias("a"), (-1 - F.col("o_orderkey") % 1000).alias("b")))
 
 
+# The three graphs above are parts (filters and folded keys, in their SQL too); these are the same graphs on all rows.
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT least(user_id, event_id) AS a, greatest(user_id, event_id) AS b FROM events), u AS (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e),
+r AS (SELECT (SELECT min(a) FROM e) AS node, 0 AS depth UNION SELECT u.t, r.depth + 1 FROM r JOIN u ON u.f = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
+def graph_bfs_all(s, d):
+    e = table(s, d, "events").select(F.least("user_id", "event_id").alias("a"), F.greatest("user_id", "event_id").alias("b")).distinct()
+    return G.bfs(e, e.agg(F.min("a").alias("node")), 3)
+
+
+@query("""WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey)
+SELECT x.a AS x, x.b AS y, z.b AS z FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b""")
+def graph_triangles_all(s, d):
+    return G.triangles(table(s, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -1 - o_orderkey AS b FROM orders), u AS (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT f AS node FROM u), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.t FROM r JOIN u ON u.f = r.seen)
+SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def graph_components_all(s, d):
+    return G.components(table(s, d, "orders").select(F.col("o_custkey").alias("a"), (-1 - F.col("o_orderkey")).alias("b")))
+
+
 @query("SELECT DISTINCT repo AS region FROM (SELECT DISTINCT repo, path AS file FROM documents WHERE repo IS NOT NULL AND path IS NOT NULL) WHERE file IN (SELECT path FROM documents WHERE source = 'incident_notes' AND path IS NOT NULL)")
 def sheaf_touched_regions(s, d):
     docs = table(s, d, "documents").filter("path IS NOT NULL")

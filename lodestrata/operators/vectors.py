@@ -9,14 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 32 * 1024 * 1024
+BATCH_CELLS = 2 * 1024 * 1024
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", metric: str = "l2", keep_self: bool = False) -> DataFrame:
     """(query, neighbour, distance, rank): the k nearest rows of every query, exactly.
 
     The query set is read in blocks of at most BLOCK_BYTES, each broadcast; every partition of rows is multiplied with a
-    block as matrices and keeps k candidates per query and batch, and candidates are merged per query. metric: l2, or
-    cosine as 1 - similarity. The smaller key wins among equal distances; other dimensions raise; NULL vectors are left out.
+    block as matrices. All rows of a batch that may be among a query's k nearest, ties included, are measured again one by
+    one and cut to k by (distance, key); these are merged per query. metric: l2, or cosine as 1 - similarity. The smaller
+    key wins among equal distances; other dimensions raise; NULL vectors are left out.
     """
     q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("qv"))
     n, dim = q.agg(F.count(F.lit(1)), F.max(F.size("qv"))).first()
@@ -35,26 +37,40 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector
 
         def run(batches, shared=shared):
             ids, m = shared.value
-            norm_q = (m**2).sum(1)
+            norm_q, slack = (m**2).sum(1), 8 * (m.shape[1] + 8) * np.finfo(np.float64).eps
             for pdf in batches:
                 if pdf.empty:
                     continue
+                # in the order of the keys, so that a stable sort by distance leaves the smaller key first
+                pdf = pdf.sort_values("k", na_position="first", kind="stable")
                 v = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["v"]])
                 if v.shape[1] != m.shape[1]:
                     raise ValueError(f"vectors of {v.shape[1]} dimensions, queries of {m.shape[1]}")
-                if metric == "cosine":
-                    d = 1 - (m @ v.T) / np.maximum(np.sqrt(norm_q)[:, None] * np.sqrt((v**2).sum(1))[None], 1e-30)
-                else:
-                    d = np.sqrt(np.maximum(norm_q[:, None] - 2 * (m @ v.T) + (v**2).sum(1)[None], 0))
-                keys = pdf["k"].to_numpy()
-                if not keep_self:
-                    d = np.where(ids[:, None] == keys[None], np.inf, d)
-                take = min(k + 8, d.shape[1])
-                best = np.argpartition(d, take - 1, axis=1)[:, :take]
-                qi = np.repeat(np.arange(len(ids)), take)
-                dist = d[qi, best.ravel()]
-                ok = np.isfinite(dist)
-                yield pd.DataFrame({"query": ids[qi][ok], "neighbour": keys[best.ravel()][ok], "distance": dist[ok]})
+                keys, norm_v = pdf["k"].to_numpy(), (v**2).sum(1)
+                step = max(1, BATCH_CELLS // len(v))
+                for lo in range(0, len(ids), step):
+                    own, mq, nq = ids[lo : lo + step], m[lo : lo + step], norm_q[lo : lo + step]
+                    scale = np.maximum(np.sqrt(nq)[:, None] * np.sqrt(norm_v)[None], 1e-30)
+                    if metric == "cosine":
+                        d, err = 1 - (mq @ v.T) / scale, slack
+                    else:
+                        d, err = nq[:, None] - 2 * (mq @ v.T) + norm_v[None], slack * (nq[:, None] + norm_v[None])
+                    d[~np.isfinite(d)] = np.inf
+                    if not keep_self:
+                        d[own[:, None] == keys[None]] = np.inf
+                    # no row beyond the k-th upper bound can be among the k nearest; all others are candidates, however many tie
+                    take = min(max(k, 1), d.shape[1])
+                    near = (d - err <= np.partition(d + err, take - 1, axis=1)[:, take - 1 : take]) & np.isfinite(d)
+                    found_q, found_r, found_d = [], [], []
+                    for i in range(len(own)):
+                        r = np.flatnonzero(near[i])
+                        # matrix products round by position; these sums don't, so equal vectors have equal distances
+                        exact = 1 - (v[r] * mq[i]).sum(1) / scale[i, r] if metric == "cosine" else np.sqrt(((v[r] - mq[i]) ** 2).sum(1))
+                        first = np.argsort(exact, kind="stable")[:k]
+                        found_q.append(np.full(len(first), lo + i))
+                        found_r.append(r[first])
+                        found_d.append(exact[first])
+                    yield pd.DataFrame({"query": ids[np.concatenate(found_q)], "neighbour": keys[np.concatenate(found_r)], "distance": np.concatenate(found_d)})
 
         got = src.mapInPandas(run, out_schema)
         found = got if found is None else found.unionByName(got)

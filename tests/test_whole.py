@@ -1,11 +1,13 @@
 """Queries do the whole job: cases that lie outside of what was once cut off, against plain versions."""
 
 import itertools
+import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from lodestrata.operators import vectors as K
 
 
 @pytest.fixture
@@ -49,3 +51,24 @@ def test_order_queries_use_all_rows(spark, tables):
     assert {r.region: r.depth for r in q["sheaf_reap_all"](spark, d).collect()} == {x: 0 for e in moved for x in e}
     r = q["sheaf_cache_defect_all"](spark, d).first()
     assert (r.defect, r.n_moved) == (pytest.approx(0.9 + 0.9 + 0.7), 3)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_keeps_the_smaller_keys_of_many_ties(spark, metric):
+    rng = np.random.default_rng(5)
+    copy = [float(x) for x in rng.normal(size=64)]
+    rows = [(i, copy if i % 3 == 0 else [float(x) for x in rng.normal(size=64)]) for i in range(1500)]
+    random.Random(6).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>").repartition(2)
+    q = df.filter("vec_id in (0, 9, 600)")
+    same = list(range(0, 1500, 3))
+    for batch in ("10000", "77"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r.query, r["rank"]): r.neighbour for r in K.knn(q, df, 5, metric=metric).collect()}
+            text = df.select(df.vec_id.cast("string").alias("vec_id"), "embedding")
+            named = {(r.query, r["rank"]): r.neighbour for r in K.knn(text.filter("vec_id = '0'"), text, 5, metric=metric).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {(x, k + 1): y for x in (0, 9, 600) for k, y in enumerate([y for y in same if y != x][:5])}
+        assert named == {("0", k + 1): y for k, y in enumerate(sorted(map(str, same[1:]))[:5])}

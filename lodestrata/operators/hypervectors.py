@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HV_BYTES = 1024
 HV_BITS = 8 * HV_BYTES
+BLOCK_ROWS = 2048
 # Layers in the order of their role.
 LAYERS = ("ast", "module", "semantic", "temporal", "hir", "lex", "fs")
 
@@ -126,6 +128,75 @@ def median_and_mad(distances: DataFrame, d: str, keys: list[str]) -> DataFrame:
     return dev.groupBy(*keys, "median", "sample_size").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs({d} - median))").cast("long").alias("mad"))
 
 
+def _pair_blocks(df: DataFrame, words: str, key: str, by: str):
+    """Rows of each group in blocks of about BLOCK_ROWS, grouped by pair of blocks; rows without group or vector are left out."""
+    src = df.filter(F.col(by).isNotNull() & F.col(words).isNotNull()).select(F.col(by).alias("by"), F.col(key).alias("k"), F.col(words).alias("w"))
+    n = src.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = src.join(F.broadcast(n), "by").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))  # a row per layer
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return both.select("by", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "w").groupBy("by", "lo", "hi")
+
+
+def _pair_distances(pdf: pd.DataFrame):
+    """(rows, columns, distances, which are pairs) of a few rows at a time; each pair of the two blocks once, as positions in pdf."""
+    w = np.stack(pdf["w"].to_list()).astype("<i8").view("<u8")
+    own, lo, hi = pdf["own"].to_numpy(), pdf["lo"].iat[0], pdf["hi"].iat[0]
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    for s in range(0, len(left), 256):
+        rows = left[s : s + 256]
+        d = np.zeros((len(rows), len(right)), dtype=np.int32)
+        for i in range(w.shape[1]):
+            d += np.bitwise_count(w[rows, i][:, None] ^ w[right, i][None])
+        yield rows, right, d, rows[:, None] < right[None] if lo == hi else np.ones(d.shape, dtype=bool)
+
+
+def pair_distances(df: DataFrame, words: str, key: str, by: str) -> DataFrame:
+    """(by, d, n): how many of all pairs of one group have Hamming distance d. Pairs are counted block by block, never moved."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = sum(np.bincount(d[ok], minlength=64 * len(pdf["w"].iat[0]) + 1) for _, _, d, ok in _pair_distances(pdf))
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"by": [pdf["by"].iat[0]] * len(at), "d": at, "n": np.asarray(n)[at]})
+
+    kind = df.schema[by].dataType.simpleString()
+    return _pair_blocks(df, words, key, by).applyInPandas(run, f"by {kind}, d int, n long").groupBy(F.col("by").alias(by), "d").agg(F.sum("n").alias("n"))
+
+
+def median_and_mad_of_counts(counts: DataFrame, by: str) -> DataFrame:
+    """`median_and_mad` per group over counted distances (by, d, n); a window holds one row per distance."""
+
+    def median(df: DataFrame, d: str, name: str) -> DataFrame:
+        up, every = W.partitionBy(by).orderBy(d), W.partitionBy(by)
+        half = df.withColumn("_up", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(every)).filter(2 * F.col("_up") >= F.col("_all"))
+        return half.groupBy(by).agg(F.min(d).cast("long").alias(name), F.max("_all").alias("sample_size"))
+
+    med = median(counts, "d", "median")
+    dev = counts.join(med.select(by, "median"), by).groupBy(by, F.abs(F.col("d") - F.col("median")).alias("d")).agg(F.sum("n").alias("n"))
+    return med.join(median(dev, "d", "mad").select(by, "mad"), by)
+
+
+def radius_edges(df: DataFrame, words: str, key: str, by: str, radius: int) -> DataFrame:
+    """(a, b, defect): pairs of one group within a Hamming radius that connect whatever all such pairs connect.
+
+    Every pair of rows is compared, block against block; of the pairs within the radius each two blocks give a spanning
+    forest, so that dense groups don't yield a quadratic number of edges.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, root, out = pdf["k"].to_numpy(), np.arange(len(pdf)), []
+        for rows, right, d, ok in _pair_distances(pdf):
+            for i, near, dist in zip(rows, ok & (d <= radius), d):
+                at = np.flatnonzero(near)
+                roots, first = np.unique(root[right[at]], return_index=True)
+                new = roots != root[i]
+                out += [(keys[i], keys[right[at[f]]], int(dist[at[f]])) for f in first[new]]
+                root[np.isin(root, roots[new])] = root[i]
+        return pd.DataFrame(out, columns=["a", "b", "defect"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return _pair_blocks(df, words, key, by).applyInPandas(run, f"a {kind}, b {kind}, defect int")
+
+
 def calibrate(df: DataFrame, words: str, key: str, sample: int = 1000, seed: int = 7) -> DataFrame | None:
     """Median and MAD of the distances of random pairs, drawn with replacement by SplitMix64; None below two rows.
 

@@ -91,6 +91,23 @@ def hv_clusters(s, d):
     return G.consistency(p.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), H.popcount_xor(F.col("hv"), F.col("hv2")).alias("defect")), h.select(F.col("vec_id").alias("node")), 32)
 
 
+# hv_baseline and hv_clusters compare neighbouring ids only (in their SQL too); these compare all pairs of a label.
+
+
+@query(f"""WITH {_BITS}, p AS (SELECT a.label, {_DIST.format(a='a', b='b')} AS dist FROM signs a JOIN signs b ON a.label = b.label AND a.vec_id < b.vec_id), m AS (SELECT label, quantile_disc(dist, 0.5)::BIGINT AS median, count(*) AS sample_size FROM p GROUP BY 1)
+SELECT m.label, median, sample_size, quantile_disc(abs(dist - median), 0.5)::BIGINT AS mad FROM p JOIN m USING (label) GROUP BY 1, 2, 3""")
+def hv_baseline_all(s, d):
+    return H.median_and_mad_of_counts(H.pair_distances(_signs(s, d), "hv", "vec_id", "label"), "label")
+
+
+@query(f"""WITH RECURSIVE {_BITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM signs a JOIN signs b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DIST.format(a='a', b='b')} <= 31),
+u AS (SELECT a AS f, b AS t FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT vec_id AS node, vec_id AS seen FROM signs UNION SELECT r.node, u.t FROM r JOIN u ON u.f = r.seen)
+SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def hv_clusters_all(s, d):
+    h = _signs(s, d)
+    return G.consistency(H.radius_edges(h, "hv", "vec_id", "label", 31), h.select(F.col("vec_id").alias("node")), 32)
+
+
 # ---------------------------------------------------------------- dense vectors
 
 _D2 = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.embedding[i]::DOUBLE - r.embedding[i]::DOUBLE) ** 2)))"

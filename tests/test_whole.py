@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as E
+from lodestrata.operators import graphs as G
+from lodestrata.operators import hypervectors as H
 from lodestrata.operators import vectors as K
 
 
@@ -72,3 +74,33 @@ def test_knn_keeps_the_smaller_keys_of_many_ties(spark, metric):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert got == {(x, k + 1): y for x in (0, 9, 600) for k, y in enumerate([y for y in same if y != x][:5])}
         assert named == {("0", k + 1): y for k, y in enumerate(sorted(map(str, same[1:]))[:5])}
+
+
+def test_hypervector_pairs_are_all_compared(spark, monkeypatch, tables):
+    rng = random.Random(8)
+    rows = [(i * 3, i % 2, [rng.getrandbits(64) - 2**63 for _ in range(2)]) for i in range(60)]
+    rows += [(1000 + i, 0, rows[2 * i][2][:1] + [rows[2 * i][2][1] ^ 5]) for i in range(9)] + [(2000, None, rows[0][2]), (2001, 7, rows[0][2])]
+    df = spark.createDataFrame(rows, "k int, label int, w array<bigint>")
+    monkeypatch.setattr(H, "BLOCK_ROWS", 11)
+    dist = {(a[0], b[0]): sum((x ^ y).bit_count() if x ^ y >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(a[2], b[2])) for a, b in itertools.combinations(rows, 2) if a[1] == b[1] is not None}
+    label = {r[0]: r[1] for r in rows}
+    want = {}
+    for x in (0, 1):
+        ds = sorted(d for (a, _), d in dist.items() if label[a] == x)
+        med = ds[(len(ds) - 1) // 2]
+        want[x] = (med, len(ds), sorted(abs(d - med) for d in ds)[(len(ds) - 1) // 2])
+    assert {r.label: (r.median, r.sample_size, r.mad) for r in H.median_and_mad_of_counts(H.pair_distances(df, "w", "k", "label"), "label").collect()} == want
+
+    for radius in (2, 48):
+        group = {k: k for k in label}
+        for (a, b), d in dist.items():
+            if d <= radius:
+                lo, hi = sorted((group[a], group[b]))
+                group = {k: lo if g == hi else g for k, g in group.items()}
+        edges = H.radius_edges(df, "w", "k", "label", radius)
+        assert {r.node: r.component for r in G.consistency(edges, df.withColumnRenamed("k", "node"), radius + 1).collect()} == group
+        assert all(dist.get((r.a, r.b), dist.get((r.b, r.a))) == r.defect for r in edges.collect())
+
+    d = tables("embeddings", [(1, 0, [1.0] * 64), (5, 0, [1.0] * 64), (9, 0, [-1.0] * 64)], "vec_id int, label int, embedding array<double>")
+    assert {r.node: r.component for r in E.queries()["hv_clusters_all"](spark, d).collect()} == {1: 1, 5: 1, 9: 9}
+    assert E.queries()["hv_baseline_all"](spark, d).select("median", "sample_size", "mad").first() == (64, 3, 0)

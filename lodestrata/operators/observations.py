@@ -42,16 +42,16 @@ def activity(obs: DataFrame, key: str, tokens: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select("token", "n", (F.col("n") / F.col("total")).alias("rate"))  # one row
 
 
-def cooccurrence(obs: DataFrame, source: str, tokens: str, max_tokens: int = 256) -> DataFrame:
+def cooccurrence(obs: DataFrame, source: str, tokens: str) -> DataFrame:
     """(a, b, n, n_sources, weight): pairs a < b that one observation mentions, and sum of ln(1 + n per source) times the
     share of sources. Pairs come from within one observation's own list, folded per source before the shuffle.
 
-    An observation of more than max_tokens tokens is refused by an error, not cut: its pairs would be no co-occurrence.
+    A list of any length is whole: each token is paired with those behind it in a row of its own, so no row grows with
+    the number of pairs.
     """
     lists = obs.select(source, F.array_sort(F.array_distinct(tokens)).alias("t")).filter(F.size("t") > 1)
-    safe = F.when(F.size("t") <= max_tokens, F.col("t")).otherwise(F.raise_error(F.lit("an observation mentions too many tokens")).cast("array<string>"))
-    pairs = lists.select(source, safe.alias("t")).select(source, F.explode(F.expr("flatten(transform(t, (x, i) -> transform(slice(t, i + 2, size(t)), y -> struct(x AS a, y AS b))))")).alias("p"))
-    per = pairs.groupBy("p.a", "p.b", source).agg(F.count(F.lit(1)).alias("n"))
+    pairs = lists.select(source, "t", F.posexplode("t").alias("i", "a")).select(source, "a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))
+    per = pairs.groupBy("a", "b", source).agg(F.count(F.lit(1)).alias("n"))
     total = obs.select(source).distinct().agg(F.count(F.lit(1)).alias("total"))
     g = per.groupBy("a", "b").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_sources"), F.sum(F.log1p("n")).alias("s"))
     return g.crossJoin(F.broadcast(total)).select("a", "b", "n", "n_sources", (F.col("s") * F.col("n_sources") / F.col("total")).alias("weight"))  # one row

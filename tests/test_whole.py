@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as E
 from lodestrata.operators import graphs as G
 from lodestrata.operators import hypervectors as H
+from lodestrata.operators import observations as O
 from lodestrata.operators import vectors as K
 
 
@@ -104,3 +105,9 @@ def test_hypervector_pairs_are_all_compared(spark, monkeypatch, tables):
     d = tables("embeddings", [(1, 0, [1.0] * 64), (5, 0, [1.0] * 64), (9, 0, [-1.0] * 64)], "vec_id int, label int, embedding array<double>")
     assert {r.node: r.component for r in E.queries()["hv_clusters_all"](spark, d).collect()} == {1: 1, 5: 1, 9: 9}
     assert E.queries()["hv_baseline_all"](spark, d).select("median", "sample_size", "mad").first() == (64, 3, 0)
+
+
+def test_long_observations_are_paired_too(spark):
+    rows = [("x", [f"t{i:03}" for i in range(300)]), ("y", ["t001", "t000", "t001"]), ("y", ["t000"]), ("z", None)]
+    got = {(r.a, r.b): (r.n, r.n_sources) for r in O.cooccurrence(spark.createDataFrame(rows, "source string, m array<string>"), "source", "m").collect()}
+    assert len(got) == 300 * 299 // 2 and got[("t000", "t001")] == (2, 2) and got[("t005", "t299")] == (1, 1) and all(a < b for a, b in got)

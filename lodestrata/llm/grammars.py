@@ -443,12 +443,12 @@ _C_HIDE = re.compile(rf"{_BLOCK}|//[^\n]*|{_DQ}|(?P<d>^[ \t]*\#[ \t]*(?P<k>\w*)(
 _DIRECTIVES = frozenset("include include_next import define undef if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident".split()) | {""}
 
 
-def lex_c(text: str):
-    """Directives are checked by themselves (form, nesting of conditions) and taken out.
+def _c_pieces(text: str):
+    """(pieces, conditions): stretches between directives as (from, to, ((condition, arm), ...)), and per condition how its #if reads.
 
-    Of #if ... #elif ... #else ... #endif the first branch is read, so that both arms needn't form one text.
+    Directives are checked by themselves (form, nesting of conditions) and belong to no piece.
     """
-    drop, out, last, stack = [], [], 0, []
+    pieces, conditions, last, path, closed = [], [], 0, [], []
     for m in _C_HIDE.finditer(text):
         if m["d"] is None:
             continue
@@ -457,27 +457,72 @@ def lex_c(text: str):
             raise ValueError(m.start())
         if k == "include" and not re.match(r"<[^<>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*", rest) or k in ("define", "undef", "ifdef", "ifndef") and not re.match(r"[^\W\d]\w*", rest) or k in ("if", "elif") and not rest:
             raise ValueError(m.start())
-        drop.append((m.start(), m.end(), k))
-    hide = 0
-    for a, b, k in drop:
-        if not hide:
-            out.append(text[last:a])
-        last = b
+        pieces.append((last, m.start(), tuple(path)))
+        last = m.end()
         if k in ("if", "ifdef", "ifndef"):
-            stack.append([hide, False])
+            path.append((len(conditions), 0))
+            closed.append(False)
+            conditions.append((k, " ".join(rest.split())))
         elif k in ("elif", "else", "elifdef", "elifndef"):
-            if not stack or stack[-1][1]:
-                raise ValueError(a)
-            stack[-1][1] = k == "else"
-            hide = stack[-1][0] + 1
+            if not path or closed[-1]:
+                raise ValueError(m.start())
+            closed[-1] = k == "else"
+            path[-1] = (path[-1][0], path[-1][1] + 1)
         elif k == "endif":
-            if not stack:
-                raise ValueError(a)
-            hide = stack.pop()[0]
-    if stack:
+            if not path:
+                raise ValueError(m.start())
+            path.pop()
+            closed.pop()
+    if path:
         raise ValueError(len(text))
-    out.append(text[last:])
-    return _C_LEX.tokens("\n".join(out) if drop else text)
+    return [*pieces, (last, len(text), ())], conditions
+
+
+def _c_text(text: str, pieces, choice: dict[int, int]) -> str:
+    """The text with one arm of each condition: the chosen one, else the first."""
+    return "\n".join(text[i:j] for i, j, path in pieces if all(choice.get(c, 0) == arm for c, arm in path)) if len(pieces) > 1 else text
+
+
+def lex_c(text: str):
+    """Of #if ... #elif ... #else ... #endif the first branch is read, so that both arms needn't form one text."""
+    return _C_LEX.tokens(_c_text(text, _c_pieces(text)[0], {}))
+
+
+def c_arm_without_derivation(text: str) -> int | None:
+    """Where an arm behind a condition's first one begins that no choice of the other conditions' arms makes derivable.
+
+    Tried are the same arm of all conditions that have it, then the arm alone, then the same arm of all conditions that
+    read alike (one without that arm is then left out), then the arm with conditions of a single arm left out.
+    """
+    pieces, conditions = _c_pieces(text)
+    arms: dict[tuple, int] = {}
+    for i, j, path in pieces:
+        if any(arm for _, arm in path) and text[i:j].strip():
+            arms.setdefault(path, i)
+    most: dict[int, int] = {}
+    for _, _, path in pieces:
+        for c, arm in path:
+            most[c] = max(most.get(c, 0), arm)
+
+    def derived(choice: dict[int, int]) -> bool:
+        try:
+            toks, breaks = _C_LEX.tokens(_c_text(text, pieces, choice))
+        except ValueError:
+            return False
+        return bool(C.accepts(toks, breaks)[0])
+
+    for arm in sorted({arm for path in arms for _, arm in path if arm}):
+        choice = {c: arm for c, n in most.items() if n >= arm}
+        held = [path for path in arms if all(choice.get(c, 0) == x for c, x in path)]
+        if held and derived(choice):
+            for path in held:
+                del arms[path]
+    for path, at in arms.items():
+        alike = {x: arm for c, arm in path if arm for x, how in enumerate(conditions) if how == conditions[c]}
+        single = {x: 1 for x, n in most.items() if n == 0}
+        if not any(derived(choice | dict(path)) for choice in ({}, alike, single, single | alike)):
+            return at
+    return None
 
 
 # ---------------------------------------------------------------- JavaScript and TypeScript
@@ -1131,4 +1176,11 @@ def parse(content: bytes, language: str) -> tuple[bool, str]:
     except RecursionError:
         return False, "nested too deeply"
     found, far = grammar.accepts(toks, breaks)
+    if found and language == "c":
+        try:
+            at = c_arm_without_derivation(text.replace("\r\n", "\n"))
+        except RecursionError:
+            return False, "nested too deeply"
+        if at is not None:
+            return False, f"no derivation has the arm at character {at}"
     return bool(found), "" if found else f"no dialect goes beyond token {far} of {len(toks) - 1}"

@@ -184,6 +184,31 @@ def informative(lines: tuple[str, ...], signature: str) -> bool:
     return False
 
 
+_SKIPPED = rb"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)'"
+_MARKS = re.compile(_SKIPPED + rb"|//[^\n]*|/\*.*?\*/|=>|[()\[\]{};\n]", re.S)
+_MARKS_PYTHON = re.compile(rb"\"\"\".*?\"\"\"|'''.*?'''|'(?:[^'\\\n]|\\.)*'|" + _SKIPPED + rb"|\#[^\n]*|[()\[\]{}:\n]", re.S)
+
+
+def signature_end(content: bytes, at: int, language: str) -> int:
+    """Where the signature that begins at a byte ends: at the mark that opens the body, outside of brackets, strings and comments.
+
+    Without such a mark it is the rest of the first line that ends outside of brackets, or of the first line.
+    """
+    depth, line, first = 0, -1, -1
+    for m in (_MARKS_PYTHON if language == "python" else _MARKS).finditer(content, at):
+        x = m[0]
+        if depth <= 0 and (x == b":" if language == "python" else x in (b"{", b";", b"=>")):
+            return m.start()
+        if x in (b"(", b"[", b"{"):
+            depth += 1
+        elif x in (b")", b"]", b"}"):
+            depth -= 1
+        elif x == b"\n":
+            first = m.start() if first < 0 else first
+            line = m.start() if line < 0 and depth <= 0 else line
+    return line if line >= 0 else first if first >= 0 else len(content)
+
+
 def documented(content: bytes, language: str):
     """(row, first byte, last byte, description) of each place below documentation that tells something.
 
@@ -202,9 +227,8 @@ def documented(content: bytes, language: str):
             # what an attempt of the grammar that failed left behind, or something set off by a blank line
             held, lo = [], None
         if what == "def":
-            stop = content.find(b"\n", j)
             if language == "python" or any(m == "block" or b"doc" in raw for m, raw in held):
-                out.append([i if lo is None else lo, j, content[j : stop + 400 if stop >= 0 else len(content)], held])
+                out.append([i if lo is None else lo, j, j, held])
             held, lo, end = [], None, -1
             continue
         if what != "none":
@@ -212,11 +236,11 @@ def documented(content: bytes, language: str):
         lo = (j if what == "block" else i) if lo is None else lo
         end = j
     found = []
-    for lo, hi, after, docs in out:
+    for lo, hi, at, docs in out:
         if not docs:
             continue
         lines = [x for mark, raw in docs for x in _lines(raw, mark)]
-        head = re.split(rb"\{|:[ \t]*\r?\n|;", after, maxsplit=1)[0][:600].decode("utf-8", "replace")
+        head = content[at : signature_end(content, at, language)].decode("utf-8", "replace")
         if informative(tuple(lines), head):
             text = "\n".join(x for x in lines).strip()
             row = content.count(b"\n", 0, lo) + (docs[0][0] == "block")

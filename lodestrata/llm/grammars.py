@@ -1,15 +1,13 @@
-"""Lexers and grammars of eight languages for the generalised LL parser. A lexer returns (kinds, positions with a line
-break before them), or None where the text can't be cut into tokens at all."""
+"""Lexers and grammars of nine languages and their dialects for the generalised LL parser. A lexer returns (kinds,
+positions with a line break before them), and raises ValueError where the text can't be cut into tokens at all."""
 
 from __future__ import annotations
 
 import re
-import sys
+from bisect import bisect_left
 
 from lodestrata.llm.gll import Grammar
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # brackets nest by calls
-
 # ---------------------------------------------------------------- shared pieces of C-like languages
 
 _ID = r"[^\W\d]\w*"
@@ -19,45 +17,68 @@ _SQ = r"'(?:[^'\\\n]|\\(?:.|\n))*'"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*\*/"
 
 
+class _Known(dict):
+    """Token text -> kind, -1 for blanks and comments, -2 for a line break; what a text is depends on itself alone."""
+
+    def __init__(self, pattern: re.Pattern, words: dict[str, int], kinds: dict[str, int], classes: dict[str, int]):
+        self.full, self.words, self.kinds, self.classes = pattern.fullmatch, words, kinds, classes
+
+    def __missing__(self, text: str) -> int:
+        g = self.full(text).lastgroup
+        if g is None or g in ("bad", "torn", "worse"):
+            raise ValueError(repr(text[:20]))
+        if g == "w":
+            k = -1
+        elif g == "n":
+            k = -2
+        elif g == "i":
+            k = self.words.get(text, self.classes["i"])
+        elif g == "o":
+            k = self.kinds.get(text)
+            if k is None:
+                raise ValueError(repr(text[:20]))
+        else:
+            k = self.classes[g]
+        if len(text) <= 24:
+            if len(self) >= KNOWN_TOKENS:
+                self.clear()
+            self[text] = k
+        return k
+
+
+KNOWN_TOKENS = 200_000
+
+
 class Lexer:
     """A token pattern with the groups w (blanks), n (line breaks), i (words), o (operators) and one per token class."""
 
     def __init__(self, pattern: str, keywords: str, grammar: Grammar, classes: dict[str, str]):
-        self.match = re.compile(pattern, re.S).match
+        # what can't be cut is taken to the end of the text at once, so that nothing is tried again behind it
+        self.pattern = re.compile(pattern.replace(r"|(?P<n>\n)", r"|(?P<bad>/\*.*)|(?P<n>\n)", 1) + "|(?P<worse>.+)", re.S)
         self.kinds = grammar.kinds
-        words = set(keywords.split())
-        self.words = {w: self.kinds[w] for w in words if w in self.kinds}
-        self.id = self.kinds["ID"]
-        self.classes = {g: self.kinds[k] for g, k in classes.items() if k in self.kinds}
+        self.words = {w: self.kinds[w] for w in keywords.split() if w in self.kinds}
+        self.known = _Known(self.pattern, self.words, self.kinds, {"i": self.kinds["ID"]} | {g: self.kinds[k] for g, k in classes.items() if k in self.kinds})
+
+    def texts(self, text: str) -> list[str]:
+        """The text cut into tokens; raises ValueError at a character that begins none."""
+        return [m[0] for m in self.pattern.finditer(text)]
+
+    def plain(self, text: str) -> list[int]:
+        """Kinds of the tokens of a language in which line breaks mean nothing."""
+        known = self.known
+        return [k for k in [known[t] for t in self.texts(text)] if k >= 0] + [0]
 
     def tokens(self, text: str):
-        """(kind, is first on a line) of each token; raises ValueError at a character that begins none."""
-        match, words, kinds, ident, classes = self.match, self.words, self.kinds, self.id, self.classes
-        i, n, fresh = 0, len(text), False
-        out, breaks = [], set()
-        while i < n:
-            m = match(text, i)
-            if m is None:
-                raise ValueError(i)
-            g = m.lastgroup
-            if g == "w":
-                pass
-            elif g == "n":
-                fresh = True
-            else:
+        """(kinds, positions of those that are first on a line)."""
+        known, out, breaks, fresh = self.known, [], set(), False
+        for k in [known[t] for t in self.texts(text)]:
+            if k >= 0:
                 if fresh:
                     breaks.add(len(out))
                     fresh = False
-                if g == "i":
-                    out.append(words.get(m[0], ident))
-                elif g == "o":
-                    k = kinds.get(m[0])
-                    if k is None:
-                        raise ValueError(i)
-                    out.append(k)
-                else:
-                    out.append(classes[g])
-            i = m.end()
+                out.append(k)
+            elif k == -2:
+                fresh = True
         out.append(0)
         return out, breaks
 
@@ -146,8 +167,7 @@ def lex_go(text: str):
 
 # ---------------------------------------------------------------- Rust
 
-RUST = Grammar(
-    """
+_RUST_RULES = """
     File = InnerAttr* Item* ;
     InnerAttr = '#' '!' '[' Trees ']' ;
     Attr = '#' '[' Trees ']' ;
@@ -228,11 +248,10 @@ RUST = Grammar(
     PatNoAlt = '-'? Literal ( RangeOp ( '-'? Literal | PathExpr )? )? | RangeOp '-'? Literal | '..' | '_' | 'ref'? 'mut'? Name ( '@' PatNoAlt )? | '&' 'mut'? PatNoAlt | '&&' 'mut'? PatNoAlt | '(' Pats ')' | '[' Pats ']' | PathExpr ( RangeOp ( '-'? Literal | PathExpr )? )? | PathExpr '(' Pats ')' | PathExpr '{' ( FieldPat ( ',' FieldPat )* ','? )? '}' | Path '!' '(' Trees ')' | 'box' PatNoAlt ;
     Pats = ( Pattern ( ',' Pattern )* ','? )? ;
     FieldPat = Attr* ( ( Name | NUM ) ':' Pattern | 'ref'? 'mut'? Name | '..' ) ;
-    """,
-    ("File",),
-)
+    """
+RUST = Grammar(_RUST_RULES, ("File",))
 _RUST_LEX = Lexer(
-    rf"(?P<w>[ \t\r]+|//[^\n]*)|(?P<n>\n)|(?P<str>b?r(?P<h>\#*)\".*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*\")|(?P<chr>b?'(?:[^'\\\n]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}))')|(?P<life>'{_ID})|(?P<i>(?:r\#)?{_ID})"
+    rf"(?P<w>[ \t\r]+|//[^\n]*)|(?P<n>\n)|(?P<str>b?r(?P<h>\#*)\".*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*\")|(?P<torn>b?r\#*\".*|[bc]?\".*)|(?P<chr>b?'(?:[^'\\\n]|\\(?:[nrt\\0'\"]|x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}))')|(?P<life>'{_ID})|(?P<i>(?:r\#)?{_ID})"
     r"|(?P<num>(?:0x[0-9a-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)\w*)"
     r"|(?P<o>\.\.\.|\.\.=|<<=|::|->|=>|\.\.|&&|\|\||[-+*/%^&|=!<>]=|[-+*/%^!&|=<>@.,;:\#$?~(){}\[\]])",
     "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait type unsafe use where while union macro_rules default _ box raw",
@@ -246,15 +265,27 @@ def lex_rust(text: str):
     text = re.sub(r"\A#![^\[\n][^\n]*", "", text)
     if "/*" in text:
         text = _nested_comments(text)
-    toks, breaks = _RUST_LEX.tokens(text)
+    toks = _RUST_LEX.plain(text)
     amp = RUST.kinds["&"]
     for i, k in enumerate(toks):
         if k in _RUST_SOFT and not (i and toks[i - 1] == amp and toks[i + 1] in (RUST.kinds["const"], RUST.kinds["mut"])):
             toks[i] = _RUST_SOFT[k]
-    return toks, breaks
+    return toks, frozenset()
+
 
+RUST_2015 = Grammar(_RUST_RULES + """
+    FnParam = Attr* Type ;
+    """, ("File",))
+# Words that the edition of 2015 reads as names.
+_RUST_NAMES = dict.fromkeys((RUST.kinds["async"], RUST.kinds["await"]), RUST.kinds["ID"])
 
-_RUST_PLAIN = re.compile(r"/\*|\*/|//[^\n]*|b?r(\#*)\".*?\"\1|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]{1,9}?)'", re.S)
+
+def lex_rust_2015(text: str):
+    """Tokens of the edition of 2015, in which `async` and `await` are names and parameters of traits need none."""
+    return [_RUST_NAMES.get(k, k) for k in lex_rust(text)[0]], frozenset()
+
+
+_RUST_PLAIN = re.compile(r"/\*|\*/|//[^\n]*|b?r(\#*)\".*?\"\1|b?r\#+\".*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\[^\n]{1,9}?)'", re.S)
 
 
 def _nested_comments(text: str) -> str:
@@ -362,7 +393,16 @@ _JAVA_LEX = Lexer(
 
 
 def lex_java(text: str):
-    return _JAVA_LEX.tokens(text)
+    return _JAVA_LEX.plain(text), frozenset()
+
+
+# Words that older levels of the language read as names.
+_JAVA_NAMES = dict.fromkeys((JAVA.kinds["enum"], JAVA.kinds["assert"]), JAVA.kinds["ID"])
+
+
+def lex_old_java(text: str):
+    """Before 5 `enum`, before 1.4 `assert` was a name."""
+    return [_JAVA_NAMES.get(k, k) for k in _JAVA_LEX.plain(text)], frozenset()
 
 
 # ---------------------------------------------------------------- C
@@ -376,14 +416,16 @@ C = Grammar(
     MacroArg = Expr | TypeName ;
     FuncDef = Specs Declarator Attrs Block ;
     Specs = Spec+ ;
-    Spec = 'static' | 'extern' | 'typedef' | 'register' | 'auto' | 'inline' | 'const' | 'volatile' | 'restrict' | '_Thread_local' | '_Noreturn' | 'void' | 'char' | 'short' | 'int' | 'long' | 'float' | 'double' | 'signed' | 'unsigned' | '_Bool' | '_Complex' | StructSpec | EnumSpec | ID | Attr | 'typeof' '(' ( Expr | TypeName ) ')' | '_Alignas' '(' ( Expr | TypeName ) ')' | '_Atomic' ;
-    Attr = '__attribute__' '(' '(' ( AttrItem ( ',' AttrItem )* )? ')' ')' ;
+    Spec = 'static' | 'extern' | 'typedef' | 'register' | 'auto' | 'inline' | 'const' | 'volatile' | 'restrict' | '_Thread_local' | '_Noreturn' | 'void' | 'char' | 'short' | 'int' | 'long' | 'float' | 'double' | 'signed' | 'unsigned' | '_Bool' | '_Complex' | StructSpec | EnumSpec | ID | Attr | ( 'typeof' | 'typeof_unqual' ) '(' ( Expr | TypeName ) ')' | 'constexpr' | '_BitInt' '(' Ternary ')' | '_Alignas' '(' ( Expr | TypeName ) ')' | '_Atomic' ;
+    Attr = '__attribute__' '(' '(' ( AttrItem ( ',' AttrItem )* )? ')' ')' | StdAttr ;
+    StdAttr = '[' '[' ( StdItem? ( ',' StdItem? )* ) ']' ']' ;
+    StdItem = ID ( '::' ID )? ( '(' MacroArgs ')' )? ;
     AttrItem = ( ID | 'const' ) ( '(' MacroArgs ')' )? ;
     Attrs = Attr* ;
     StructSpec = ( 'struct' | 'union' ) Attrs ( ID? '{' Member* '}' | ID ) Attrs ;
     Member = Specs ( MemDecl ( ',' MemDecl )* )? ';' | ';' | StaticAssert ;
     MemDecl = Declarator ( ':' Ternary )? Attrs | ':' Ternary ;
-    EnumSpec = 'enum' ( ID? '{' Enumr ( ',' Enumr )* ','? '}' | ID ) ;
+    EnumSpec = 'enum' Attrs ( ID? ( ':' Specs )? '{' Enumr ( ',' Enumr )* ','? '}' | ID ) ;
     Enumr = ID ( '=' Ternary )? ;
     Decl = Specs ( InitDecl ( ',' InitDecl )* )? ';' | StaticAssert ;
     StaticAssert = '_Static_assert' '(' Ternary ( ',' STR+ )? ')' ';' ;
@@ -402,7 +444,7 @@ C = Grammar(
     TypeName = Specs Abstract? ;
     Block = '{' BlockItem* '}' ;
     BlockItem = Decl | Stmt | FuncDef ;
-    Stmt = Block | ';' | Expr ';' | ID ':' Attrs Stmt? | 'case' Ternary ( '...' Ternary )? ':' Stmt? | 'default' ':' Stmt? | 'if' '(' Expr ')' Stmt ( 'else' Stmt )? | 'switch' '(' Expr ')' Stmt | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';' | 'for' '(' ( Decl | Expr? ';' ) Expr? ';' Expr? ')' Stmt | 'goto' ( ID | '*' Expr ) ';' | 'continue' ';' | 'break' ';' | 'return' Expr? ';' | 'asm' ( 'volatile' | 'goto' )* '(' AsmPart ( ( ':' | '::' ) AsmPart? )* ')' ';' ;
+    Stmt = Block | ';' | Expr ';' | ID ':' Attrs ( Stmt | Decl )? | StdAttr+ Stmt | 'case' Ternary ( '...' Ternary )? ':' ( Stmt | Decl )? | 'default' ':' ( Stmt | Decl )? | 'if' '(' Expr ')' Stmt ( 'else' Stmt )? | 'switch' '(' Expr ')' Stmt | 'while' '(' Expr ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';' | 'for' '(' ( Decl | Expr? ';' ) Expr? ';' Expr? ')' Stmt | 'goto' ( ID | '*' Expr ) ';' | 'continue' ';' | 'break' ';' | 'return' Expr? ';' | 'asm' ( 'volatile' | 'goto' )* '(' AsmPart ( ( ':' | '::' ) AsmPart? )* ')' ';' ;
     AsmPart = ( STR+ ( '(' Expr ')' )? | '[' ID ']' STR '(' Expr ')' ) ( ',' AsmPart )? ;
     Expr = Assign ( ',' Assign )* ;
     Assign = Ternary ( AssignOp Init )? ;
@@ -430,17 +472,16 @@ C = Grammar(
 _C_LEX = Lexer(
     rf"(?P<w>[ \t\r\f]+|\\\r?\n|//[^\n]*|{_BLOCK})|(?P<n>\n)|(?P<str>(?:u8|[uUL])?{_DQ})|(?P<chr>[uUL]?'(?:[^'\\\n]|\\.)+')|(?P<i>{_ID})|(?P<num>{_NUM})"
     r"|(?P<o>\.\.\.|<<=|>>=|<<|>>|->|\+\+|--|&&|\|\||::|[-+*/%^&|=!<>]=|[-+*/%^!&|=<>.,;:?~(){}\[\]])",
-    "static extern typedef register auto inline const volatile restrict _Thread_local _Noreturn void char short int long float double signed unsigned _Bool _Complex struct union enum typeof _Alignas _Alignof _Atomic __attribute__ asm case default if else switch while do for goto continue break return sizeof _Static_assert _Generic",
+    "static extern typedef register auto inline const volatile restrict _Thread_local _Noreturn void char short int long float double signed unsigned _Bool _Complex struct union enum typeof typeof_unqual constexpr _BitInt _Alignas _Alignof _Atomic __attribute__ asm case default if else switch while do for goto continue break return sizeof _Static_assert _Generic",
     C, {"num": "NUM", "str": "STR", "chr": "CHAR"},
 )
-_C_ALIAS = {"__inline": "inline", "__inline__": "inline", "__const": "const", "__volatile__": "volatile", "__restrict": "restrict", "__asm__": "asm", "__asm": "asm", "__extension__": "", "__typeof__": "typeof", "_Static_assert": "_Static_assert", "static_assert": "_Static_assert"}
+_C_ALIAS = {"__inline": "inline", "__inline__": "inline", "__const": "const", "__volatile__": "volatile", "__restrict": "restrict", "__asm__": "asm", "__asm": "asm", "__extension__": "", "__typeof__": "typeof", "_Static_assert": "_Static_assert", "static_assert": "_Static_assert", "alignas": "_Alignas", "alignof": "_Alignof", "thread_local": "_Thread_local"}
 for _a, _b in _C_ALIAS.items():
     if _b:
         _C_LEX.words[_a] = C.kinds[_b]
-_C_LINE = re.compile(r"(?m)^[ \t]*\#[ \t]*(\w*)((?:\\\r?\n|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*|[^\n])*)")
-_C_HIDE = re.compile(rf"{_BLOCK}|//[^\n]*|{_DQ}|(?P<d>^[ \t]*\#[ \t]*(?P<k>\w*)(?P<r>(?:\\\r?\n|/\*(?:[^*]|\*(?!/))*\*/|[^\n])*))", re.M | re.S)
+_C_HIDE = re.compile(rf"{_BLOCK}|(?P<u>/\*)|//[^\n]*|{_DQ}|(?P<d>^[ \t]*\#[ \t]*(?P<k>\w*)(?P<r>(?:\\\r?\n|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z)|[^\n])*))", re.M | re.S)
 # The directives of the C preprocessor.
-_DIRECTIVES = frozenset("include include_next import define undef if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident".split()) | {""}
+_DIRECTIVES = frozenset("include include_next embed import define undef if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident".split()) | {""}
 
 
 def _c_pieces(text: str):
@@ -450,8 +491,12 @@ def _c_pieces(text: str):
     """
     pieces, conditions, last, path, closed = [], [], 0, [], []
     for m in _C_HIDE.finditer(text):
+        if m["u"]:
+            raise ValueError(m.start())
         if m["d"] is None:
             continue
+        if m.end() == len(text) and re.search(r"/\*(?!.*\*/)", m["r"], re.S):
+            raise ValueError(m.start())
         k, rest = m["k"], m["r"].strip()
         if k not in _DIRECTIVES:
             raise ValueError(m.start())
@@ -485,10 +530,10 @@ def _c_text(text: str, pieces, choice: dict[int, int]) -> str:
 
 def lex_c(text: str):
     """Of #if ... #elif ... #else ... #endif the first branch is read, so that both arms needn't form one text."""
-    return _C_LEX.tokens(_c_text(text, _c_pieces(text)[0], {}))
+    return _C_LEX.plain(_c_text(text, _c_pieces(text)[0], {})), frozenset()
 
 
-def c_arm_without_derivation(text: str) -> int | None:
+def c_arm_without_derivation(text: str, lexer: Lexer, grammar: Grammar) -> int | None:
     """Where an arm behind a condition's first one begins that no choice of the other conditions' arms makes derivable.
 
     Tried are the same arm of all conditions that have it, then the arm alone, then the same arm of all conditions that
@@ -506,10 +551,10 @@ def c_arm_without_derivation(text: str) -> int | None:
 
     def derived(choice: dict[int, int]) -> bool:
         try:
-            toks, breaks = _C_LEX.tokens(_c_text(text, pieces, choice))
+            toks = lexer.plain(_c_text(text, pieces, choice))
         except ValueError:
             return False
-        return bool(C.accepts(toks, breaks)[0])
+        return bool(grammar.accepts(toks)[0])
 
     for arm in sorted({arm for path in arms for _, arm in path if arm}):
         choice = {c: arm for c, n in most.items() if n >= arm}
@@ -525,6 +570,113 @@ def c_arm_without_derivation(text: str) -> int | None:
     return None
 
 
+# ---------------------------------------------------------------- C++
+
+CPP = Grammar(
+    """
+    File = Top* ;
+    Top = ';' | Decl | 'export'? 'module' QName? ';' | 'export'? 'import' ( QName | STR ) ';' | 'export' ( Decl | '{' Top* '}' ) ;
+    Decl = Namespace | Using | Template | 'extern' STR ( '{' Top* '}' | Decl ) | StaticAssert | FuncDef | Simple | Binding | ID '(' MacroArgs ')' ';'? | 'asm' '(' STR+ ')' ';' | 'extern'? 'template' Simple | Guide ;
+    Namespace = 'inline'? 'namespace' Attr* ( ID ( '::' 'inline'? ID )* )? Attr* '{' Top* '}' | 'namespace' ID '=' QName ';' ;
+    Using = 'using' 'namespace' QName ';' | 'using' 'typename'? QName '...'? ( ',' 'typename'? QName '...'? )* ';' | 'using' ID Attr* '=' TypeId ';' | 'using' 'enum' QName ';' ;
+    Template = 'template' '<' ( TParam ( ',' TParam )* )? '>' Requires? ( Decl | 'concept' ID '=' Expr ';' ) ;
+    TParam = ( 'typename' | 'class' ) '...'? ID? ( '=' TypeId )? | 'template' '<' ( TParam ( ',' TParam )* )? '>' ( 'typename' | 'class' ) '...'? ID? ( '=' QName )? | Param ;
+    Requires = 'requires' Constraint ( ( '&&' | '||' ) Constraint )* ;
+    Constraint = QName | '(' Expr ')' | RequiresExpr | 'true' | 'false' ;
+    RequiresExpr = 'requires' ( '(' Params ')' )? '{' Requirement* '}' ;
+    Requirement = Expr ';' | 'typename' QName ';' | '{' Expr '}' 'noexcept'? ( '->' TypeId )? ';' | Requires ';' ;
+    Guide = 'explicit'? ID '(' Params ')' '->' QName ';' ;
+    StaticAssert = 'static_assert' '(' Assign ( ',' STR+ )? ')' ';' ;
+    MacroArgs = ( MacroArg ( ',' MacroArg )* )? ;
+    MacroArg = Assign | TypeId | Braces ;
+    Attr = '[' '[' ( 'using' ID ':' )? ( AttrItem? ( ',' AttrItem? )* ) ']' ']' | '__attribute__' '(' '(' ( AttrItem ( ',' AttrItem )* )? ')' ')' | 'alignas' '(' ( Expr | TypeId ) ')' | '__declspec' '(' MacroArgs ')' ;
+    AttrItem = ( ID | 'const' ) ( '::' ID )? ( '(' MacroArgs ')' )? '...'? ;
+    Specs = Spec+ ;
+    Spec = 'static' | 'extern' | 'typedef' | 'register' | 'inline' | 'virtual' | 'explicit' ( '(' Expr ')' )? | 'friend' | 'constexpr' | 'consteval' | 'constinit' | 'mutable' | 'thread_local' | 'const' | 'volatile' | 'auto' | Word | 'decltype' '(' Expr ')' | 'typename' QName | ClassSpec | EnumSpec | QName | Attr ;
+    Word = 'void' | 'char' | 'wchar_t' | 'char8_t' | 'char16_t' | 'char32_t' | 'short' | 'int' | 'long' | 'float' | 'double' | 'signed' | 'unsigned' | 'bool' ;
+    QName = '::'? QSeg ( '::' 'template'? QSeg )* ;
+    QSeg = ID TArgs? | '~' ID | 'operator' OpName TArgs? | 'decltype' '(' Expr ')' ;
+    TArgs = '<' ( TArg ( ',' TArg )* )? '>' ;
+    TArg = ( TypeId | Ternary ) '...'? ;
+    OpName = BinOp | AssignOp | '!' | '~' | '++' | '--' | ',' | '->' | '->*' | '(' ')' | '[' ']' | ( 'new' | 'delete' ) ( '[' ']' )? | STR ID? | 'co_await' | 'const'* ( Word+ | QName | 'auto' ) 'const'? PtrOp* ;
+    ClassSpec = ( 'class' | 'struct' | 'union' ) ( Attr | ID ( '(' MacroArgs ')' )? )* ( QName ID? )? ( ':' Base ( ',' Base )* )? '{' Member* '}' | ( 'class' | 'struct' | 'union' ) Attr* QName ;
+    Base = ( 'virtual' | Access | Attr )* ( QName | 'decltype' '(' Expr ')' ) '...'? ;
+    Access = 'public' | 'private' | 'protected' ;
+    Member = Access ID? ':' | Decl | ';' ;
+    EnumSpec = 'enum' ( 'class' | 'struct' )? Attr* QName? ( ':' TypeId )? '{' ( Enumr ( ',' Enumr )* ','? )? '}' | 'enum' ( 'class' | 'struct' )? QName ( ':' TypeId )? ;
+    Enumr = ID Attr* ( '=' Ternary )? ;
+    Simple = Attr* Specs? ( InitDecl ( ',' InitDecl )* )? ';' ;
+    Binding = Attr* Specs ( '&' | '&&' )? '[' ID ( ',' ID )* ']' Init ';' ;
+    InitDecl = Declarator ( 'asm' '(' STR ')' )? Attr* Init? | Declarator? ':' Ternary Init? ;
+    Init = '=' ( Assign | Braces | 'default' | 'delete' ( '(' STR ')' )? ) | Braces | '(' Args ')' ;
+    Declarator = PtrOp* Direct ;
+    PtrOp = '*' ( 'const' | 'volatile' | ID | Attr )* | '&' Attr* | '&&' Attr* | QName '::' '*' ( 'const' | 'volatile' )* ;
+    Direct = ( '...'? QName Attr* | '(' Attr* ID? Declarator ')' ) DSuffix* ;
+    DSuffix = '[' Expr? ']' Attr* | '(' Params ')' FnTail* ;
+    FnTail = 'const' | 'volatile' | '&' | '&&' | 'noexcept' ( '(' Expr ')' )? | 'throw' '(' ( TypeId ( ',' TypeId )* )? ')' | '->' TypeId | Requires | Attr | ID ( '(' MacroArgs ')' )? ;
+    Params = ( Param ( ',' Param )* '...'? ( ',' '...' )? )? | '...' ;
+    Param = Attr* 'this'? Specs ( Declarator | Abstract )? Attr* ( '=' ( Assign | Braces ) )? ;
+    Abstract = PtrOp+ ( ADirect | '...' )? | ADirect | '...' ;
+    ADirect = ( '(' Abstract ')' | ASuffix ) ASuffix* ;
+    ASuffix = '[' Expr? ']' | '(' Params ')' FnTail* ;
+    TypeId = Specs Abstract? ;
+    FuncDef = Attr* Specs? Declarator ( CtorInit? Block | 'try' CtorInit? Block Catch+ ) ;
+    CtorInit = ':' MemInit ( ',' MemInit )* ;
+    MemInit = QName ( '(' Args ')' | Braces ) '...'? ;
+    Block = '{' Stmt* '}' ;
+    Stmt = Block | ';' | Expr ';' | Simple | Binding | Using | StaticAssert | Attr+ Stmt | ID ':' Stmt? | 'case' Ternary ( '...' Ternary )? ':' Stmt? | 'default' ':' Stmt? | 'if' ( 'constexpr' | '!'? 'consteval' )? ( '(' Cond ')' )? Stmt ( 'else' Stmt )? | 'switch' '(' Cond ')' Stmt | 'while' '(' Cond ')' Stmt | 'do' Stmt 'while' '(' Expr ')' ';' | 'for' '(' ForHead ')' Stmt | 'goto' ( ID | '*' Expr ) ';' | 'break' ';' | 'continue' ';' | ( 'return' | 'co_return' ) ( Expr | Braces )? ';' | 'try' Block Catch+ | 'asm' 'volatile'? '(' AsmPart ( ( ':' | '::' ) AsmPart? )* ')' ';' | 'namespace' ID '=' QName ';' | ID '(' MacroArgs ')' Block ;
+    AsmPart = ( STR+ ( '(' Expr ')' )? | '[' ID ']' STR '(' Expr ')' ) ( ',' AsmPart )? ;
+    Cond = ( Simple | Expr ';' | ';' | Using )? ( Expr | Attr* Specs Declarator Init | Specs ( '&' | '&&' )? '[' ID ( ',' ID )* ']' Init ) ;
+    ForHead = ( Simple | Binding | Expr? ';' | Using ) Cond? ';' Expr? | ( Simple | Expr ';' )? Attr* Specs ( Declarator | ( '&' | '&&' )? '[' ID ( ',' ID )* ']' ) ':' ( Expr | Braces ) ;
+    Catch = 'catch' '(' ( Param | '...' ) ')' Block ;
+    Expr = Assign ( ',' Assign )* ;
+    Assign = Ternary ( AssignOp ( Assign | Braces ) )? | 'throw' Assign? | 'co_yield' ( Assign | Braces ) ;
+    AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' ;
+    Ternary = Binary ( '?' Expr? ':' Assign )? ;
+    Binary = Unary ( BinOp Unary )* ;
+    BinOp = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<=>' | '<<' | '>' '>' | '+' | '-' | '*' | '/' | '%' | '.*' | '->*' ;
+    Unary = ( '+' | '-' | '!' | '~' | '*' | '&' | '++' | '--' | '&&' | 'co_await' | '__extension__' )* ( Postfix | Cast | SizeOf | New | '::'? 'delete' ( '[' ']' )? Unary ) ;
+    SizeOf = ( 'sizeof' | 'alignof' ) ( Unary | '(' TypeId ')' ) | 'sizeof' '...' '(' ID ')' | 'noexcept' '(' Expr ')' ;
+    Cast = '(' TypeId ')' ( Unary | Braces ) ;
+    New = '::'? 'new' ( '(' Args ')' )? ( NewType | '(' TypeId ')' ) ( '(' Args ')' | Braces )? ;
+    NewType = 'const'* ( Word+ | 'auto' | 'typename'? QName ) PtrOp* ( '[' Expr? ']' )* ;
+    Postfix = Primary Suffix* ;
+    Suffix = '[' ( Expr | Braces )? ']' | '(' Args ')' | Braces | ( '.' | '->' ) 'template'? QName | '++' | '--' ;
+    Braces = '{' ( InitItem ( ',' InitItem )* ','? )? '}' ;
+    InitItem = ( ( '.' ID | '[' Ternary ']' )+ '='? )? ( Assign | Braces ) '...'? ;
+    Args = ( Arg ( ',' Arg )* )? ;
+    Arg = ( Assign | Braces | Word+ PtrOp* | 'const' Specs Abstract? | 'struct' QName ) '...'? ;
+    Primary = QName | NUM | CHAR | StrCat | 'this' | 'true' | 'false' | 'nullptr' | '(' ( Expr | Fold | Block ) ')' | Lambda | ( 'static_cast' | 'dynamic_cast' | 'const_cast' | 'reinterpret_cast' ) '<' TypeId '>' '(' Expr ')' | 'typeid' '(' ( Expr | TypeId ) ')' | ( Word | 'auto' ) ( '(' Args ')' | Braces ) | 'typename' QName ( '(' Args ')' | Braces ) | RequiresExpr ;
+    StrCat = ( STR | ID STR ) ( STR | ID STR )* ID? ;
+    Fold = '...' BinOp Unary | Binary BinOp '...' ( BinOp Unary )? | Binary ',' '...' | '...' ',' Binary ;
+    Lambda = '[' ( Capture ( ',' Capture )* )? ']' ( '<' ( TParam ( ',' TParam )* )? '>' Requires? )? Attr* ( '(' Params ')' )? ( 'mutable' | 'constexpr' | 'consteval' | 'static' | FnTail )* Block ;
+    Capture = '&' | '=' | '*'? 'this' | '&'? '...'? ID '...'? ( '=' Assign | Braces | '(' Args ')' )? ;
+    """,
+    ("File",),
+)
+_CPP_LEX = Lexer(
+    rf"(?P<w>[ \t\r\f]+|\\\r?\n|//(?:[^\n\\]|\\\r?\n|\\)*|{_BLOCK})|(?P<n>\n)|(?P<str>(?:u8|[uUL])?R\"(?P<d>[^\s()\\]{{0,16}})\(.*?\)(?P=d)\"\w*|(?:u8|[uUL])?{_DQ}(?:_\w+|(?:s|sv|h|min|ms|us|ns)\b)?)|(?P<chr>(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+'(?:_\w+)?)|(?P<i>{_ID})"
+    r"|(?P<num>(?:0[xX][0-9a-fA-F']*\.?[0-9a-fA-F']*(?:[pP][+-]?\d+)?|0[bB][01']+|(?:\d[\d']*\.?[\d']*|\.\d[\d']*)(?:[eE][+-]?\d+)?)\w*)"
+    r"|(?P<o>\.\.\.|<=>|<<=|<<|->\*|->|\.\*|\+\+|--|&&|\|\||::|[-+*/%^&|=!<>]=|[-+*/%^!&|=<>.,;:?~(){}\[\]])",
+    "export module import namespace inline using typename template class concept requires explicit static_assert __attribute__ alignas __declspec const static extern typedef register virtual friend constexpr consteval constinit mutable thread_local volatile auto decltype void char wchar_t char8_t char16_t char32_t short int long float double signed unsigned bool operator new delete co_await struct union public private protected enum default asm noexcept throw this try case if else switch while do for goto break continue return co_return catch co_yield sizeof alignof true false nullptr static_cast dynamic_cast const_cast reinterpret_cast typeid __extension__",
+    CPP, {"num": "NUM", "str": "STR", "chr": "CHAR"},
+)
+# Words that are names unless a module or concept is declared.
+_CPP_SOFT = {CPP.kinds[k]: CPP.kinds["ID"] for k in ("module", "import")}
+# Other spellings of C++ words and operators.
+_CPP_LEX.words |= {a: CPP.kinds[b] for a, b in {"and": "&&", "or": "||", "not": "!", "__asm__": "asm", "__inline": "inline", "__inline__": "inline", "__restrict": "const", "__restrict__": "const", "_Static_assert": "static_assert", "__volatile__": "volatile"}.items()}
+
+
+def lex_cpp(text: str):
+    """Conditions as in C; `module` and `import` are words at the start of a declaration only."""
+    toks = _CPP_LEX.plain(_c_text(text, _c_pieces(text)[0], {}))
+    before = {CPP.kinds[";"], CPP.kinds["}"], CPP.kinds["export"]}
+    for i, k in enumerate(toks):
+        if k in _CPP_SOFT and i and toks[i - 1] not in before:
+            toks[i] = _CPP_SOFT[k]
+    return toks, frozenset()
+
+
 # ---------------------------------------------------------------- JavaScript and TypeScript
 
 _JS_COMMON = """
@@ -572,6 +724,10 @@ _JS_COMMON = """
     NewTarget = ( Id | 'this' | '(' Exprs ')' | FuncExpr | Class | New ) ( '.' IdName | '[' Exprs ']' )* ;
     NewArgs = Call ;
     Template = TPL | THEAD Exprs ( TMID Exprs )* TTAIL ;
+    Primary = Jsx ;
+    Jsx = JLT JNAME JAttr* ( JSELF | JGT JChild* JEND JGT ) | JLT JGT JChild* JEND JGT ;
+    JAttr = JNAME ( '=' ( STR | '{' Exprs '}' | Jsx ) )? | '{' '...' Expr '}' ;
+    JChild = Jsx | '{' ( '...'? Exprs )? '}' ;
     Id = ID | 'async' | 'of' | 'get' | 'set' | 'from' | 'as' | 'type' | 'static' | 'let' | 'meta' | 'target' | 'await' | 'yield' | Soft ;
     Soft = 'declare' | 'namespace' | 'module' | 'abstract' | 'readonly' | 'keyof' | 'is' | 'infer' | 'unique' | 'asserts' | 'satisfies' | 'public' | 'private' | 'protected' | 'override' | 'implements' | 'interface' | 'global' | 'any' | 'accessor' | 'require' ;
     IdName = Id | 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'return' | 'break' | 'continue' | 'throw' | 'try' | 'catch' | 'finally' | 'switch' | 'case' | 'default' | 'function' | 'class' | 'extends' | 'new' | 'this' | 'super' | 'null' | 'true' | 'false' | 'typeof' | 'void' | 'delete' | 'instanceof' | 'in' | 'import' | 'export' | 'enum' | 'debugger' | 'with' ;
@@ -639,57 +795,155 @@ TS = Grammar(
 )
 _JS_KEYS = "async of get set from as type static let meta target await yield declare namespace module abstract readonly keyof is infer unique asserts satisfies public private protected override implements interface global accessor require var const if else for while do return break continue throw try catch finally switch case default function class extends new this super null true false typeof void delete instanceof in import export enum debugger with out"
 _JS_PATTERN = (
-    r"(?P<w>[ \t\r\f\v\xa0\ufeff]+|//[^\n\u2028\u2029]*)|(?P<c>/\*(?:[^*]|\*(?!/))*\*/)|(?P<n>[\n\u2028\u2029])|(?P<i>(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*)|(?P<priv>\#[^\W\d][\w$]*)"
+    r"(?P<w>[ \t\r\f\v\xa0\ufeff]+|//[^\n\u2028\u2029]*)|(?P<c>/\*(?:[^*]|\*(?!/))*\*/)|(?P<bad>/\*.*)|(?P<n>[\n\u2028\u2029])|(?P<i>(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4})(?:[\w$]|\\u[0-9a-fA-F]{4})*)|(?P<priv>\#[^\W\d][\w$]*)"
     rf"|(?P<num>{_NUM})|(?P<str>{_DQ}|{_SQ})|(?P<tpl>`)|(?P<slash>/=?)"
     r"|(?P<o>\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|<<|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\*\*|[-+*%&|^]=|[-+*%&|^!~<>=?:;,.(){}\[\]@])"
 )
 _JS_RE = re.compile(_JS_PATTERN, re.S)
 _TPL_PART = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*(`|\$\{)", re.S)
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/\w*")
+_ELEMENT = re.compile(r"<(?=[>A-Za-z_$])")
+_GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
+_ELEMENT_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_IN_TAG = re.compile(rf"(?P<blank>(?:\s|{_BLOCK}|//[^\n]*)+)|(?P<name>[A-Za-z_$][\w$.:-]*)|(?P<str>\"[^\"]*\"|'[^']*')|(?P<end>/?>)|(?P<is>=)|(?P<open>\{{)|(?P<sub><)")
 
 
 class JsLexer:
-    """Tokens of JavaScript: a slash begins a pattern unless a value stands before it; templates nest."""
+    """Tokens of JavaScript: a slash begins a pattern unless a value stands before it; templates nest.
+
+    elements: whether a `<` where no value stands before it opens an element (JSX). What is open is kept in one stack,
+    so texts may nest as deeply as they like.
+    """
 
-    def __init__(self, grammar: Grammar):
+    def __init__(self, grammar: Grammar, elements: bool):
         self.kinds = k = grammar.kinds
+        self.elements = elements
         self.words = {w: k[w] for w in _JS_KEYS.split() if w in k}
-        values = ["ID", "NUM", "STR", "REGEX", "TPL", "TTAIL", "PRIV", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"]
+        values = ["ID", "NUM", "STR", "REGEX", "TPL", "TTAIL", "PRIV", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--", "JGT", "JSELF"]
         self.values = {k[x] for x in values if x in k} | {k[x] for x in ("of", "get", "set", "from", "as", "type", "static", "async", "any", "let") if x in k}
+        self.known = _Known(_JS_RE, self.words, k, {"i": k["ID"], "c": -1, "priv": k["PRIV"], "num": k["NUM"], "str": k["STR"], "tpl": -3, "slash": -3})
+        self.heads = {k[x] for x in ("if", "while", "for", "with") if x in k}
+
+    def _element(self, text: str, i: int, out: list[int], nest: list) -> int:
+        """Goes on inside an element that is open: a tag's attributes or what stands between two tags."""
+        k = self.kinds
+        if nest[-1][0] == "tag":
+            m = _IN_TAG.match(text, i)
+            if m is None:
+                raise ValueError(i)
+            g = m.lastgroup
+            if g == "name":
+                out.append(k["JNAME"])
+            elif g == "str":
+                out.append(k["STR"])
+            elif g == "is":
+                out.append(k["="])
+            elif g == "open":
+                out.append(k["{"])
+                nest.append("{")
+            elif g == "sub":
+                return self._tag(text, i, out, nest)
+            elif g == "end":
+                _, name = nest.pop()
+                if m[0] == ">":
+                    out.append(k["JGT"])
+                    nest.append(("within", name))
+                else:
+                    out.append(k["JSELF"])
+            return m.end()
+        j = i
+        while j < len(text) and text[j] not in "<{":
+            if text[j] in ">}":
+                raise ValueError(j)
+            cut = [x for x in (text.find(c, j + 1) for c in "<{>}") if x >= 0]
+            j = min(cut, default=len(text))
+        if j >= len(text):
+            raise ValueError(i)
+        if text[j] == "{":
+            out.append(k["{"])
+            nest.append("{")
+            return j + 1
+        if not text.startswith("</", j):
+            return self._tag(text, j, out, nest)
+        m = re.compile(r"</\s*([A-Za-z_$][\w$.:-]*)?\s*>").match(text, j)
+        if m is None or (m[1] or "") != nest[-1][1]:
+            raise ValueError(j)
+        nest.pop()
+        out += [k["JEND"], k["JGT"]]
+        return m.end()
+
+    def _tag(self, text: str, i: int, out: list[int], nest: list) -> int:
+        m = _ELEMENT_NAME.match(text, i + 1)
+        out.append(self.kinds["JLT"])
+        if m is None:
+            if not text.startswith("<>", i):
+                raise ValueError(i)
+            nest.append(("within", ""))
+            out.append(self.kinds["JGT"])
+            return i + 2
+        out.append(self.kinds["JNAME"])
+        nest.append(("tag", m[0]))
+        return m.end()
 
     def __call__(self, text: str):
-        k, words, values, match = self.kinds, self.words, self.values, _JS_RE.match
+        k, values, known, heads = self.kinds, self.values, self.known, self.heads
         text = re.sub(r"\A\ufeff?#![^\n]*", "", text)
         out, breaks, i, n, fresh, nest = [], set(), 0, len(text), False, []
         parens: list[bool] = []  # whether the bracket was opened after if/while/for, so that a pattern may follow it
-        heads = {k[x] for x in ("if", "while", "for", "with") if x in k}
         after_head = False
+        less, curly, curled, round_, rounded = k["<"], k["{"], k["}"], k["("], k[")"]
         while i < n:
-            m = match(text, i)
-            if m is None:
-                raise ValueError(i)
-            g = m.lastgroup
-            if g == "w":
-                i = m.end()
+            if nest and nest[-1].__class__ is tuple:
+                i = self._element(text, i, out, nest)
+                after_head = fresh = False
                 continue
-            if g == "n" or g == "c":
-                fresh = fresh or g == "n" or "\n" in m[0]
+            for m in _JS_RE.finditer(text, i):
+                if m.start() != i:
+                    raise ValueError(i)
+                t = m[0]
                 i = m.end()
-                continue
-            if fresh:
-                breaks.add(len(out))
-                fresh = False
-            t = m[0]
-            if g == "i":
-                out.append(words.get(t, k["ID"]))
-            elif g == "o":
-                if t == "{":
+                x = known[t]
+                if x == -1:
+                    if t[0] == "/" and t[1] == "*" and "\n" in t:
+                        fresh = True
+                    continue
+                if x == -2:
+                    fresh = True
+                    continue
+                if fresh:
+                    breaks.add(len(out))
+                    fresh = False
+                if x == -3:
+                    i = m.start()
+                    if t == "`":
+                        p = _TPL_PART.match(text, i + 1)
+                        if p is None:
+                            raise ValueError(i)
+                        if p[1] == "`":
+                            out.append(k["TPL"])
+                        else:
+                            out.append(k["THEAD"])
+                            nest.append("`")
+                        i = p.end()
+                        break
+                    if out and out[-1] in values and not (out[-1] == rounded and after_head):
+                        out.append(k[t])
+                        i = m.end()
+                        after_head = False
+                        continue
+                    r = _REGEX.match(text, i)
+                    if r is None:
+                        raise ValueError(i)
+                    out.append(k["REGEX"])
+                    i = r.end()
+                    break
+                if x == curly:
                     nest.append("{")
-                elif t == "}":
+                elif x == curled:
                     if not nest:
                         raise ValueError(i)
                     if nest.pop() == "`":
-                        p = _TPL_PART.match(text, i + 1)
+                        p = _TPL_PART.match(text, i)
                         if p is None:
                             raise ValueError(i)
                         if p[1] == "`":
@@ -698,47 +952,31 @@ class JsLexer:
                             out.append(k["TMID"])
                             nest.append("`")
                         i = p.end()
-                        continue
-                elif t == "(":
+                        break
+                    if nest and nest[-1].__class__ is tuple:
+                        out.append(x)
+                        break
+                elif x == round_:
                     parens.append(bool(out) and out[-1] in heads)
-                elif t == ")":
+                elif x == rounded:
+                    out.append(x)
                     after_head = parens.pop() if parens else False
-                out.append(k[t])
-                if t == ")":
-                    i = m.end()
-                    continue
-            elif g == "tpl":
-                p = _TPL_PART.match(text, i + 1)
-                if p is None:
-                    raise ValueError(i)
-                if p[1] == "`":
-                    out.append(k["TPL"])
-                else:
-                    out.append(k["THEAD"])
-                    nest.append("`")
-                i = p.end()
-                continue
-            elif g == "slash":
-                if out and out[-1] in values and not (out[-1] == k[")"] and after_head):
-                    out.append(k[t])
-                else:
-                    r = _REGEX.match(text, i)
-                    if r is None:
-                        raise ValueError(i)
-                    out.append(k["REGEX"])
-                    i = r.end()
                     continue
+                elif x == less and self.elements and not (out and out[-1] in values and not (out[-1] == rounded and after_head)) and _ELEMENT.match(text, i - 1) and not _GENERIC_ARROW.match(text, i - 1):
+                    i = self._tag(text, i - 1, out, nest)
+                    break
+                out.append(x)
+                after_head = False
             else:
-                out.append(k[{"num": "NUM", "str": "STR", "priv": "PRIV"}[g]])
-            after_head = False
-            i = m.end()
-        if nest and "`" in nest:
+                if i < n:
+                    raise ValueError(i)
+        if nest and not all(x == "{" for x in nest):
             raise ValueError(n)
         out.append(0)
         return out, breaks
 
 
-lex_js, lex_ts = JsLexer(JS), JsLexer(TS)
+lex_js, lex_ts, lex_tsx = JsLexer(JS, True), JsLexer(TS, False), JsLexer(TS, True)
 
 # ---------------------------------------------------------------- Python
 
@@ -890,188 +1128,289 @@ def lex_python(text: str):
     return out, frozenset()
 
 
+# Words that Python up to 3.6 reads as names.
+_PY_NAMES = dict.fromkeys((PYTHON.kinds["async"], PYTHON.kinds["await"]), PYTHON.kinds["ID"])
+
+
+def lex_python36(text: str):
+    return [_PY_NAMES.get(k, k) for k in lex_python(text)[0]], frozenset()
+
+
 # ---------------------------------------------------------------- shell
 
-SHELL = Grammar(
-    """
-    Bash = NL* ( List )? ;
-    Posix = NL* ( PList )? ;
-    PList = List ;
+_SHELL_RULES = """
     List = AndOr ( Sep AndOr )* Sep? ;
     Sep = ( ';' | '&' ) NL* | NL+ ;
     AndOr = Pipe ( ( '&&' | '||' ) NL* Pipe )* ;
+    Prefix = ASSIGN | Redir ;
+    Simple = Prefix+ ( CmdWord Arg* )? | CmdWord Arg* ;
+    Redir = REDIR Word | REDIR ASSIGN | HERE ;
+    If = 'if' NL* List 'then' NL* List ( 'elif' NL* List 'then' NL* List )* ( 'else' NL* List )? 'fi' ;
+    While = ( 'while' | 'until' ) NL* List Do ;
+    Case = 'case' ( Word | ASSIGN ) NL* 'in' NL* ( CaseItem ( CaseEnd NL* CaseItem )* ( CaseEnd NL* )? )? 'esac' ;
+    CaseItem = '('? PatWord ( '|' PatWord )* ')' NL* List? ;
+    Word = WORD | 'if' | 'then' | 'elif' | 'else' | 'fi' | 'for' | 'while' | 'until' | 'do' | 'done' | 'case' | 'esac' | 'in' | 'function' | 'select' | 'time' | '{' | '}' | '!' | '[[' | COND2 ;
+    PatWord = WORD | ASSIGN | 'if' | 'then' | 'else' | 'fi' | 'for' | 'while' | 'do' | 'done' | 'case' | 'in' | 'function' | 'select' | 'time' | '{' | '}' | '!' ;
+"""
+_BASH_RULES = """
+    Bash = NL* List? ;
     Pipe = ( '!' | 'time' )* Command ( ( '|' | '|&' ) NL* Command )* | '!' ;
     Command = Simple | Compound Redir* | Def ;
-    Simple = Prefix+ ( CmdWord Arg* )? | CmdWord Arg* ;
-    Prefix = ASSIGN | Array | Redir ;
+    Prefix = Array ;
     Array = ARRAY '(' ( Word | ASSIGN | Array | NL )* ')' ;
-    CmdWord = WORD | 'in' | COND2 ;
+    CmdWord = WORD | BWORD | 'in' | COND2 ;
     Arg = Word | ASSIGN | Array | Redir ;
-    Word = WORD | 'if' | 'then' | 'elif' | 'else' | 'fi' | 'for' | 'while' | 'until' | 'do' | 'done' | 'case' | 'esac' | 'in' | 'function' | 'select' | 'time' | '{' | '}' | '!' | '[[' | COND2 ;
-    Redir = REDIR Word | REDIR ASSIGN | HERE ;
-    Def = WORD '(' ')' NL* Compound Redir* | 'function' Word ( '(' ')' )? NL* Compound Redir* ;
+    Word = BWORD ;
+    Redir = BREDIR Word | BREDIR ASSIGN ;
+    Def = ( WORD | BWORD ) '(' ')' NL* Compound Redir* | 'function' Word ( '(' ')' )? NL* Compound Redir* ;
     Compound = '{' NL* List '}' | '(' NL* List ')' | ARITH | Cond | If | For | While | Case | 'select' WORD ( NL* 'in' Word* )? Sep Do ;
     Cond = '[[' CondPart+ COND2 ;
     CondPart = Word | ASSIGN | '&&' | '||' | '(' | ')' | REDIR | NL ;
-    If = 'if' NL* List 'then' NL* List ( 'elif' NL* List 'then' NL* List )* ( 'else' NL* List )? 'fi' ;
     For = 'for' WORD ( NL* 'in' ( Word | ASSIGN )* )? Sep? Do | 'for' ARITH Sep? Do ;
     Do = 'do' NL* List 'done' | '{' NL* List '}' ;
-    While = ( 'while' | 'until' ) NL* List Do ;
-    Case = 'case' ( Word | ASSIGN ) NL* 'in' NL* ( CaseItem ( CaseEnd NL* CaseItem )* ( CaseEnd NL* )? )? 'esac' ;
     CaseEnd = ';;' | ';&' | ';;&' ;
-    CaseItem = '('? PatWord ( '|' PatWord )* ')' NL* List? ;
-    PatWord = WORD | ASSIGN | 'if' | 'then' | 'else' | 'fi' | 'for' | 'while' | 'do' | 'done' | 'case' | 'in' | 'function' | 'select' | 'time' | '{' | '}' | '!' ;
-    """,
-    ("Bash", "Posix"),
-    balanced=False,
-)
+    PatWord = BWORD ;
+"""
+_POSIX_RULES = """
+    Posix = NL* List? ;
+    Pipe = '!'? Command ( '|' NL* Command )* ;
+    Command = Simple | Compound Redir* | Def ;
+    CmdWord = WORD | 'in' | COND2 | '[[' | 'function' | 'select' | 'time' ;
+    Arg = Word | ASSIGN | Redir ;
+    Def = ( WORD | 'function' | 'select' | 'time' ) '(' ')' NL* Compound Redir* ;
+    Compound = '{' NL* List '}' | '(' NL* List ')' | If | For | While | Case ;
+    For = 'for' WORD ( NL* 'in' ( Word | ASSIGN )* )? Sep? Do ;
+    Do = 'do' NL* List 'done' ;
+    CaseEnd = ';;' ;
+"""
+
+
+def _named(rules: str, tag: str) -> str:
+    """The same rules under names of their own, so that two dialects stand in one grammar."""
+    return re.sub(r"('[^']*')|\b([A-Z][a-z]\w*)\b", lambda m: m[1] or (m[2] if m[2] in ("Bash", "Posix") else m[2] + tag), rules)
+
+
+SHELL = Grammar(_named(_SHELL_RULES + _BASH_RULES, "B") + _named(_SHELL_RULES + _POSIX_RULES, "P"), ("Bash", "Posix"), balanced=False)
 _SH_KEYS = {w: SHELL.kinds[w] for w in "if then elif else fi for while until do done case esac in function select time { } ! [[".split()} | {"]]": SHELL.kinds["COND2"]}
 _SH_BLANK = re.compile(r"(?:[ \t\r]|\\\r?\n)+")
 _SH_REDIR = re.compile(r"(?:\d+|\{\w+\})?(?:<<<|<<-?|<>|>>|>\||<&|>&|&>>|&>|<|>)")
 _SH_OPS = re.compile(r";;&|;;|;&|&&|\|\||\|&|[;&|()\n]")
 _SH_PLAIN = re.compile(r"[^\s\"'\\$`;&|()<>\n]+")
 _SH_ASSIGN = re.compile(r"\w+(?:\[[^\]]*\])?\+?=")
+_SH_QUOTED = re.compile(r"[^\"\\$`]+")
+_SH_BRACED = re.compile(r"[^}\\\"'$`]+")
+_SH_ROUND = re.compile(r"[^()\\\"'$`]+")
+_SH_ANSI = re.compile(r"\$'(?:[^'\\]|\\.)*'", re.S)
+_SH_BACK = re.compile(r"`((?:[^`\\]|\\.)*)`", re.S)
+#: tokens after which a command may begin, so that `case` is a word of the language there
+_SH_BEFORE = {SHELL.kinds[x] for x in (";", "&", "&&", "||", "|", "|&", "(", ")", "NL", "{", "then", "do", "else", "elif", "if", "while", "until", "!", "time", ";;", ";&", ";;&")}
 
 
-class _Shell:
-    """Tokens of one shell text; substitutions inside words are parsed by themselves, here-documents are skipped."""
+class _Text:
+    """One list of commands: the whole text or what a substitution holds; `marks` are its open brackets and cases."""
 
-    def __init__(self, text: str, depth: int = 0):
-        self.t, self.depth = text, depth
-        if depth > 40:
-            raise ValueError(0)
+    __slots__ = ("out", "marks", "heres", "slot", "start", "arrays", "inner")
 
-    def fail(self, i):
-        raise ValueError(i)
+    def __init__(self):
+        self.out, self.marks, self.heres, self.slot, self.start, self.arrays, self.inner = [], [], [], -1, 0, False, []
 
-    def double(self, i: int) -> int:
-        """Behind a double-quoted string that begins before i."""
-        t, n = self.t, len(self.t)
-        while i < n:
-            c = t[i]
-            if c == '"':
-                return i + 1
-            if c == "\\":
-                i += 2
-            elif c == "$":
-                i = self.dollar(i)
-            elif c == "`":
-                i = self.back(i)
-            else:
-                i += 1
-        self.fail(i)
 
-    def back(self, i: int) -> int:
-        m = re.compile(r"`((?:[^`\\]|\\.)*)`", re.S).match(self.t, i)
-        if m is None:
-            self.fail(i)
-        shell_ok(m[1].replace("\\`", "`"), self.depth + 1) or self.fail(i)
-        return m.end()
+class _Shell:
+    """The token lists of a shell text: its own and one per substitution in it.
 
-    def dollar(self, i: int) -> int:
-        t = self.t
-        if t.startswith("$((", i):
-            j = self.round(i + 1)
-            if t[j - 2 : j] == "))":
-                return j
-        if t.startswith("$(", i):
-            j = self.round(i + 1)
-            shell_ok(t[i + 2 : j - 1], self.depth + 1) or self.fail(i)
-            return j
-        if t.startswith("${", i):
-            j, n = i + 2, len(t)
-            while j < n:
-                c = t[j]
-                if c == "}":
-                    return j + 1
-                if c == "\\":
-                    j += 2
-                elif c == '"':
-                    j = self.double(j + 1)
-                elif c == "'" and t[i - 1 : i] != '"':
-                    k = t.find("'", j + 1)
-                    j = k + 1 if k >= 0 else j + 1
-                elif c == "$":
-                    j = self.dollar(j)
-                elif c == "`":
-                    j = self.back(j)
-                else:
-                    j += 1
-            self.fail(i)
-        if t.startswith("$'", i):
-            m = re.compile(r"\$'(?:[^'\\]|\\.)*'", re.S).match(t, i)
-            return m.end() if m else self.fail(i)
-        return i + 1
+    One pass with a stack of what is open (a list of commands, a word, a quoted or braced part, arithmetic), so depth
+    costs nothing. `$((` is read as arithmetic and, should its brackets not close together, read again as a substitution;
+    such places are remembered, and so is every substitution that was read to its end, so nothing is read more than twice.
+    """
 
-    def round(self, i: int) -> int:
-        """Behind the bracket that closes the one at i; patterns of a case inside may have bare closing ones."""
-        t, n, level, cases = self.t, len(self.t), 0, 0
-        while i < n:
-            c = t[i]
-            if c == "(":
-                level += 1
-            elif c == ")":
-                if not (cases and level == 1):
-                    level -= 1
-                    if not level:
-                        return i + 1
-            elif c == "\\":
-                i += 1
-            elif c == "'":
-                i = t.find("'", i + 1)
-                if i < 0:
-                    self.fail(n)
-            elif c == '"':
-                i = self.double(i + 1) - 1
-            elif c == "`":
-                i = self.back(i) - 1
-            elif c == "$" and i + 1 < n and t[i + 1] in "({'":
-                i = self.dollar(i) - 1
-            elif c == "#" and t[i - 1] in " \t\n;(":
-                i = t.find("\n", i)
+    def __init__(self, text: str):
+        self.t, self.plain, self.done, self.here_at = text, set(), {}, None
+        self.open_texts: list[_Text] = [_Text()]
+
+    def lines(self) -> dict[str, list[int]]:
+        """Line -> where it begins, for ends of here-documents."""
+        if self.here_at is None:
+            self.here_at, at = {}, 0
+            for x in self.t.split("\n"):
+                self.here_at.setdefault(x.rstrip("\r"), []).append(at)
+                at += len(x) + 1
+            self.tabbed = {}
+            for x, where in self.here_at.items():
+                self.tabbed.setdefault(x.lstrip("\t"), []).extend(where)
+            for where in self.tabbed.values():
+                where.sort()
+        return self.here_at
+
+    def run(self) -> list[list[int]]:
+        t, n, i = self.t, len(self.t), 0
+        # what is open: ("text", _Text, where it began), ("word", _Text), ("quoted",), ("braced", in quotes), ("round", where it began, depth, arithmetic, substitutions so far)
+        stack: list[list] = [["text", self.open_texts[0], -1]]
+        while True:
+            top = stack[-1]
+            what = top[0]
+            if what == "text":
+                i = self.text(i, stack)
                 if i < 0:
-                    self.fail(n)
+                    lists, todo = [], [top[1]]
+                    while todo:
+                        x = todo.pop()
+                        lists.append(x.out)
+                        todo += x.inner
+                    return lists
                 continue
-            elif c in "ce" and (i == 0 or not (t[i - 1].isalnum() or t[i - 1] in "_-./$")):
-                if re.compile(r"case[ \t\n]").match(t, i):
-                    cases += 1
-                elif re.compile(r"esac\b").match(t, i) and cases:
-                    cases -= 1
-            i += 1
-        self.fail(n)
-
-    def word(self, i: int) -> int:
-        t, n, start = self.t, len(self.t), i
-        while i < n:
-            m = _SH_PLAIN.match(t, i)
-            if m:
-                i = m.end()
+            if i >= n:
+                if what == "word":
+                    stack.pop()
+                    self.word_ends(top[1], n)
+                    continue
+                i = self.unclosed(stack)
                 continue
             c = t[i]
-            if c == '"':
-                i = self.double(i + 1)
-            elif c == "'":
-                i = t.find("'", i + 1) + 1
-                if not i:
-                    self.fail(n)
-            elif c == "\\":
+            if c == "\\":
                 i += 2
             elif c == "$":
-                i = self.dollar(i)
+                i = self.dollar(i, stack)
             elif c == "`":
-                i = self.back(i)
-            elif c in "<>" and t.startswith("(", i + 1):
-                j = self.round(i + 1)
-                shell_ok(t[i + 2 : j - 1], self.depth + 1) or self.fail(i)
-                i = j
-            elif c == "(" and i > start and t[i - 1] in "@?*+!":
-                i = self.round(i)
-            else:
+                m = _SH_BACK.match(t, i)
+                if m is None:
+                    raise ValueError(i)
+                for out in _Shell(re.sub(r"\\([`\\$])", r"\1", m[1])).run():
+                    held = _Text()
+                    held.out = out
+                    self.open_texts[-1].inner.append(held)
+                i = m.end()
+            elif what == "quoted":
+                if c == '"':
+                    stack.pop()
+                    i += 1
+                else:
+                    i = _SH_QUOTED.match(t, i).end()
+            elif c == '"':
+                stack.append(["quoted"])
+                i += 1
+            elif what == "braced":
+                if c == "}":
+                    stack.pop()
+                    i += 1
+                elif c == "'":
+                    k = -1 if top[1] else t.find("'", i + 1)
+                    i = k + 1 if k >= 0 else i + 1
+                else:
+                    i = _SH_BRACED.match(t, i).end()
+            elif c == "'":
+                k = t.find("'", i + 1)
+                if k < 0:
+                    raise ValueError(n)
+                i = k + 1
+            elif what == "round":
+                if c == "(":
+                    top[2] += 1
+                    i += 1
+                elif c == ")":
+                    top[2] -= 1
+                    i += 1
+                    if top[2] == 1 and top[3] and not t.startswith(")", i):
+                        i = self.again(stack, top)
+                    elif not top[2]:
+                        stack.pop()
+                        if top[3] and stack[-1][0] == "text":
+                            stack[-1][1].out.append(SHELL.kinds["ARITH"])
+                else:
+                    i = _SH_ROUND.match(t, i).end()
+            else:  # a word
+                m = _SH_PLAIN.match(t, i)
+                if m:
+                    i = m.end()
+                elif c in "<>" and t.startswith("(", i + 1):
+                    top[1].arrays = True
+                    i = self.open(i, i + 2, stack)
+                elif c == "(" and i > top[1].start and t[i - 1] in "@?*+!":
+                    top[1].arrays = True
+                    stack.append(["round", i, 1, False, 0])
+                    i += 1
+                else:
+                    stack.pop()
+                    self.word_ends(top[1], i)
+
+    def again(self, stack: list, at: list) -> int:
+        """Goes back to a `((` or `$((` that isn't arithmetic."""
+        while True:
+            f = stack.pop()
+            if f[0] == "text":
+                self.open_texts.pop()
+            if f is at:
                 break
-        return i
+        del self.open_texts[-1].inner[at[4] :]
+        self.plain.add(at[1])
+        return at[1]
+
+    def unclosed(self, stack: list) -> int:
+        """At the end of the text: whatever is open as arithmetic isn't any, however it is reached."""
+        rounds = [f for f in stack if f[0] == "round" and f[3]]
+        if not rounds:
+            raise ValueError(len(self.t))
+        self.plain.update(f[1] for f in rounds)
+        return self.again(stack, rounds[0])
+
+    def open(self, at: int, inside: int, stack: list) -> int:
+        """Begins the commands of a substitution; one that was read before is skipped."""
+        known = self.done.get(at)
+        if known is not None:
+            self.open_texts[-1].inner.append(known[1])
+            return known[0]
+        self.open_texts.append(_Text())
+        stack.append(["text", self.open_texts[-1], at])
+        return inside
+
+    def dollar(self, i: int, stack: list) -> int:
+        t = self.t
+        if t.startswith("$((", i) and i not in self.plain:
+            stack.append(["round", i, 2, True, len(self.open_texts[-1].inner)])
+            return i + 3
+        if t.startswith("$(", i):
+            return self.open(i, i + 2, stack)
+        if t.startswith("${", i):
+            stack.append(["braced", any(f[0] == "quoted" for f in stack[-1:])])
+            return i + 2
+        if t.startswith("$'", i) and stack[-1][0] != "quoted":
+            m = _SH_ANSI.match(t, i)
+            if m is None:
+                raise ValueError(i)
+            return m.end()
+        return i + 1
 
-    def tokens(self) -> list[int]:
-        t, k, n, i, out, heres = self.t, SHELL.kinds, len(self.t), 0, [], []
+    def word_ends(self, text: _Text, i: int) -> None:
+        k, w = SHELL.kinds, self.t[text.start : i]
+        out = text.out
+        if text.slot == -2:  # the word of a here-document
+            if i == text.start:
+                raise ValueError(i)
+            end, tabs = re.sub(r"[\"'\\]", "", w), text.heres.pop()
+            text.heres.append((end, tabs))
+            out.append(k["HERE"])
+            text.arrays = False
+            return
+        if i <= text.start:
+            raise ValueError(i)
+        a = _SH_ASSIGN.match(w)
+        if a and a.end() == len(w) and self.t.startswith("(", i):
+            out.append(k["ARRAY"])
+        elif a:
+            out.append(k["ASSIGN"])
+        else:
+            x = k["BWORD"] if text.arrays else _SH_KEYS.get(w, k["WORD"])
+            if x == k["case"] and (not out or out[-1] in _SH_BEFORE):
+                text.marks.append("case")
+            elif x == k["esac"] and text.marks and text.marks[-1] == "case" and out[-1] in _SH_ESAC:
+                text.marks.pop()
+            out.append(x)
+        text.arrays = False
+
+    def text(self, i: int, stack: list) -> int:
+        """Goes on in a list of commands up to its next word or its end; -1 at the end of everything."""
+        t, k, n = self.t, SHELL.kinds, len(self.t)
+        _, text, began = stack[-1]
+        out = text.out
         while i < n:
             m = _SH_BLANK.match(t, i)
             if m:
@@ -1081,84 +1420,109 @@ class _Shell:
             if c == "#":
                 i = t.find("\n", i)
                 if i < 0:
-                    break
+                    i = n
                 continue
-            if t.startswith("((", i) and (not out or out[-1] != k["WORD"]):
-                j = self.round(i)
-                if t[j - 2 : j] == "))":
-                    out.append(k["ARITH"])
-                    i = j
-                    continue
+            if c == "(" and t.startswith("((", i) and i not in self.plain and (not out or out[-1] not in (k["WORD"], k["ARRAY"])):
+                stack.append(["round", i, 2, True, len(self.open_texts[-1].inner)])
+                return i + 2
             m = _SH_REDIR.match(t, i)
             if m and not (c in "<>" and t.startswith("(", i + 1)):
                 i = m.end()
-                if m[0].endswith("<<") or m[0].endswith("<<-"):
+                op = m[0].lstrip("0123456789")
+                if op in ("<<", "<<-") or op[-3:] == "}<<" or op[-4:] == "}<<-":
                     b = _SH_BLANK.match(t, i)
                     i = b.end() if b else i
-                    j = self.word(i)
-                    if j == i:
-                        self.fail(i)
-                    heres.append((re.sub(r"[\"'\\]", "", t[i:j]), m[0].endswith("-")))
-                    out.append(k["HERE"])
-                    i = j
-                else:
-                    out.append(k["REDIR"])
+                    text.heres.append(op.endswith("-"))
+                    text.slot, text.start = -2, i
+                    stack.append(["word", text])
+                    return i
+                out.append(k["BREDIR"] if op[0] == "{" or op in ("<<<", "&>", "&>>") else k["REDIR"])
                 continue
             m = _SH_OPS.match(t, i)
-            if m:
-                i = m.end()
-                if m[0] != "\n":
-                    out.append(k[m[0]])
-                    continue
-                out.append(k["NL"])
-                for end, tabs in heres:
-                    while True:
-                        if i >= n:
-                            self.fail(n)
-                        e = t.find("\n", i)
-                        line = t[i : e if e >= 0 else n].rstrip("\r")
-                        i = e + 1 if e >= 0 else n
-                        if (line.lstrip("\t") if tabs else line) == end:
-                            break
-                heres = []
+            if m is None:
+                text.slot, text.start = 0, i
+                stack.append(["word", text])
+                return i
+            if c == ")":
+                if text.marks and text.marks[-1] == "(":
+                    text.marks.pop()
+                elif not text.marks and began >= 0:
+                    if text.heres:
+                        raise ValueError(i)
+                    out.append(0)
+                    stack.pop()
+                    self.open_texts.pop()
+                    self.open_texts[-1].inner.append(text)
+                    self.done[began] = (i + 1, text)
+                    return i + 1
+                out.append(k[")"])
+                i += 1
                 continue
-            j = self.word(i)
-            if j <= i:
-                self.fail(i)
-            w = t[i:j]
-            a = _SH_ASSIGN.match(w)
-            if a and a.end() == len(w) and t.startswith("(", j):
-                out.append(k["ARRAY"])
-            elif a:
-                out.append(k["ASSIGN"])
-            else:
-                out.append(_SH_KEYS.get(w, k["WORD"]))
-            i = j
-        if heres:
-            self.fail(n)
+            if c == "(":
+                text.marks.append("(")
+            i = m.end()
+            if c != "\n":
+                out.append(k[m[0]])
+                continue
+            out.append(k["NL"])
+            for end, tabs in text.heres:
+                self.lines()
+                where = (self.tabbed if tabs else self.here_at).get(end, ())
+                j = bisect_left(where, i)
+                if j == len(where):
+                    raise ValueError(n)
+                e = t.find("\n", where[j])
+                i = e + 1 if e >= 0 else n
+            text.heres = []
+        if began >= 0:
+            return self.unclosed(stack)
+        if text.heres:
+            raise ValueError(n)
         out.append(0)
-        return out
+        return -1
 
 
-def lex_shell(text: str, depth: int = 0):
-    return _Shell(text, depth).tokens(), frozenset()
+_SH_ESAC = _SH_BEFORE | {SHELL.kinds["in"]}
 
 
-def shell_ok(text: str, depth: int) -> bool:
-    return bool(SHELL.accepts(_Shell(text, depth).tokens())[0])
+def lex_shell(text: str) -> list[list[int]]:
+    return _Shell(text).run()
 
 
-#: language -> (lexer, grammar)
-PARSERS = {"go": (lex_go, GO), "rust": (lex_rust, RUST), "java": (lex_java, JAVA), "c": (lex_c, C), "javascript": (lex_js, JS), "typescript": (lex_ts, TS), "python": (lex_python, PYTHON), "bash": (lex_shell, SHELL)}
-
-# File extension -> language.
-EXTENSIONS = {"go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "py": "python", "pyi": "python", "sh": "bash", "bash": "bash"}
+def shell_dialects(lists: list[list[int]]) -> tuple[set[str], int, int]:
+    """The dialects that derive the text and everything substituted in it; lists that look alike are parsed once."""
+    found, done = {"Bash", "Posix"}, set()
+    for kinds in lists:
+        key = tuple(kinds)
+        if key in done:
+            continue
+        done.add(key)
+        got, far = SHELL.accepts(kinds)
+        found &= got
+        if not found:
+            return found, far, len(kinds) - 1
+    return found, 0, 0
+
+#: language -> groups of dialects (lexer, grammar); a group whose lexer or grammar differs is asked where those before it reject
+PARSERS = {
+    "go": ((lex_go, GO),), "rust": ((lex_rust, RUST), (lex_rust_2015, RUST_2015)), "java": ((lex_java, JAVA), (lex_old_java, JAVA)), "c": ((lex_c, C),), "header": ((lex_c, C), (lex_cpp, CPP)), "cpp": ((lex_cpp, CPP),),
+    "javascript": ((lex_js, JS),), "typescript": ((lex_ts, TS),), "tsx": ((lex_tsx, TS),), "python": ((lex_python, PYTHON), (lex_python36, PYTHON)), "bash": ((lex_shell, SHELL),),
+}
+
+# File extension -> language; `header` is C or C++, `tsx` TypeScript with elements.
+EXTENSIONS = {
+    "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "header", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hh": "cpp", "hpp": "cpp", "hxx": "cpp", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "py": "python", "pyi": "python", "sh": "bash", "bash": "bash",
+}
+#: the language a set of dialects is reported as, where it has another name
+REPORTED = {"header": "c", "tsx": "typescript"}
 
 
 def parse(content: bytes, language: str) -> tuple[bool, str]:
     """(valid, why not). Valid if some dialect of the language derives the whole text. Nothing but blanks is valid.
 
     A byte order mark is skipped. Bytes that are no UTF-8 are read as Latin-1, so they may stand in strings and comments.
+    Neither the length of a text nor how deeply it nests changes the verdict.
     """
     if content.startswith(b"\xef\xbb\xbf"):
         content = content[3:]
@@ -1168,19 +1532,25 @@ def parse(content: bytes, language: str) -> tuple[bool, str]:
         text = content.decode("latin-1")
     if not text.strip():
         return True, ""
-    lexer, grammar = PARSERS[language]
-    try:
-        toks, breaks = lexer(text.replace("\r\n", "\n"))
-    except ValueError as e:
-        return False, f"no token at character {e}"
-    except RecursionError:
-        return False, "nested too deeply"
-    found, far = grammar.accepts(toks, breaks)
-    if found and language == "c":
+    text = text.replace("\r\n", "\n")
+    why = ""
+    for lexer, grammar in PARSERS[language]:
         try:
-            at = c_arm_without_derivation(text.replace("\r\n", "\n"))
-        except RecursionError:
-            return False, "nested too deeply"
-        if at is not None:
-            return False, f"no derivation has the arm at character {at}"
-    return bool(found), "" if found else f"no dialect goes beyond token {far} of {len(toks) - 1}"
+            if grammar is SHELL:
+                found, far, n = shell_dialects(lexer(text))
+            else:
+                toks, breaks = lexer(text)
+                n = len(toks) - 1
+                found, far = grammar.accepts(toks, breaks)
+            if found and grammar in (C, CPP):
+                at = c_arm_without_derivation(text, _C_LEX if grammar is C else _CPP_LEX, grammar)
+                if at is not None:
+                    why = why or f"no derivation has the arm at character {at}"
+                    continue
+        except ValueError as e:
+            why = why or f"no token at {e}"
+            continue
+        if found:
+            return True, ""
+        why = why or f"no dialect goes beyond token {far} of {n}"
+    return False, why

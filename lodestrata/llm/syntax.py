@@ -6,10 +6,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.grammars import EXTENSIONS, parse
+from lodestrata.llm.grammars import EXTENSIONS, REPORTED, parse
 
 # Spellings of languages that files without a known extension may declare.
-SPELLINGS = {"go": "go", "golang": "go", "rust": "rust", "rs": "rust", "python": "python", "py": "python", "python3": "python", "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "java": "java", "c": "c", "bash": "bash", "sh": "bash", "shell": "bash", "zsh": "bash"}
+SPELLINGS = {"go": "go", "golang": "go", "rust": "rust", "rs": "rust", "python": "python", "py": "python", "python3": "python", "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "java": "java", "c": "c", "h": "header", "c++": "cpp", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "jsx": "javascript", "node": "javascript", "tsx": "tsx", "typescriptreact": "tsx", "javascriptreact": "javascript", "bash": "bash", "sh": "bash", "shell": "bash", "zsh": "bash"}
 
 
 def _lookup(col, table: dict[str, str]):
@@ -20,8 +20,8 @@ def verdicts(files: DataFrame) -> DataFrame:
     """(source_id, repository, language, valid, reason) of every row with id and content.
 
     The language is that of the file's extension, else of the column `language`; valid is NULL where there is no grammar.
-    A file is valid if at least one dialect of its language derives all of it; empty and blank files are valid. Whole
-    contents are parsed in one narrow stage, each row by itself, so repeated rows have equal verdicts.
+    A file is valid if at least one dialect of its language derives all of it (a `.h` file one of C or of C++, a `.js` file
+    one with or without elements); empty and blank files are valid. Whole contents are parsed in one narrow stage, each row by itself, so repeated rows have equal verdicts.
     """
     ext = F.lower(F.regexp_extract("id", r"\.([A-Za-z]+)$", 1))
     language = F.coalesce(_lookup(ext, EXTENSIONS), _lookup(F.lower(F.trim("language")), SPELLINGS))
@@ -37,7 +37,8 @@ def verdicts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(valid, pa.bool_()), pa.array(reason, pa.string())], names=["source_id", "language", "valid", "reason"])
 
     out = src.mapInArrow(run, "source_id string, language string, valid boolean, reason string")
-    return out.withColumn("repository", F.substring_index("source_id", "/", 1)).select("source_id", "repository", "language", "valid", "reason")
+    named = F.coalesce(_lookup(F.col("language"), REPORTED), F.col("language"))
+    return out.select("source_id", F.substring_index("source_id", "/", 1).alias("repository"), named.alias("language"), "valid", "reason")
 
 
 def broken(files: DataFrame) -> DataFrame:

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.peg import State, act, ahead, at_line_start, choice, opt, rule, seq, star, term, unless
+from lodestrata.llm.peg import State, act, ahead, at_line_start, choice, closed, opt, rule, seq, star, term
 
 #: node kinds of functions and methods
 FUNCTION_KINDS = ("function_declaration", "method_declaration", "function_definition", "function_item", "method_definition")
 
 # File extensions of the languages with a grammar.
 LANGUAGES = {"go": "go", "rs": "rust", "py": "python", "pyi": "python", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "mts": "js", "java": "java", "c": "c", "h": "c", "cc": "c", "cpp": "c", "hpp": "c", "sh": "bash", "bash": "bash"}
+# Spellings of languages that files without such an extension may declare.
+SPELLINGS = {"go": "go", "golang": "go", "rust": "rust", "rs": "rust", "python": "python", "py": "python", "python3": "python", "javascript": "js", "js": "js", "jsx": "js", "typescript": "js", "ts": "js", "tsx": "js", "java": "java", "c": "c", "c++": "c", "cpp": "c", "bash": "bash", "sh": "bash", "shell": "bash"}
 
 # ---------------------------------------------------------------- grammars
 
@@ -27,31 +30,54 @@ _SQ = rb"'(?:[^'\\\n]|\\.)*+'"
 _BALANCED = rb"\((?:[^()\"']++|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
 
 
-def _c_like(skip: bytes, attribute: bytes, exported: bytes = rb"(?!)"):
-    """Grammar of a language with // and /* */ comments.
+_BLOCK = closed(rb"/\*(?:[^*]|\*(?!/))*+\*/")
 
-    File      <- (Code / DocDef / Comment / Any)*
-    Block     <- LineStart Comment (EOL Blanks Comment)*          comments on adjoining lines
-    DocDef    <- Block EOL (Blanks Attribute EOL?)* Blanks Export? !EOL   what documents the line below
+
+def _emit(what: str):
+    return lambda s, i, j: s.out.append((what, i, j))
+
+
+def _c_like(skip: bytes, function: bytes, attribute: bytes = rb"(?!)", exported: bytes = rb"", texts: tuple = ()):
+    """Grammar of a language with // and /* */ comments. `skip` is text without any, `texts` are strings of many lines.
+
+    File       <- (Skip / Text / Documented / Block / Comment / Any)*
+    Documented <- (Block EOL Blanks / LineStart &Attribute) (Attribute EOL? Blanks)* Export? Function
+    Block      <- LineStart Comment (EOL Blanks Comment)*          comments on adjoining lines
+    Function   <- what begins a function or method: its words, its name and the bracket of its parameters
     """
-    comment = rule(term(rb"//[^\n\r]*+|/\*(?:[^*]|\*(?!/))*+\*/"))
+    comment = rule(choice(term(rb"//[^\n\r]*+"), _BLOCK))
     block = rule(seq(at_line_start, comment, star(seq(_EOL, _BLANKS, comment))))
-    attr = act(term(attribute), lambda s, i, j: s.out.append(("attr", i, j)))
-    head = act(block, lambda s, i, j: s.out.append(("block", i, j)))
+    attr = act(term(attribute), _emit("attr"))
     attributes = star(seq(attr, opt(_EOL), _BLANKS))
-    start = act(term(exported + rb"|"), lambda s, i, j: s.out.append(("def", i, j)))
-    doc = seq(head, _EOL, _BLANKS, attributes, start, unless(_EOL))
-    bare = seq(at_line_start, ahead(term(attribute)), act(_BLANKS, lambda s, i, j: s.out.append(("none", i, j))), attributes, start)
-    return star(choice(term(skip), bare, doc, comment, _ANY))
+    doc = choice(seq(act(block, _emit("block")), _EOL, _BLANKS), seq(at_line_start, ahead(term(attribute))))
+    documented = seq(doc, attributes, term(exported), act(term(function), _emit("function")))
+    return star(choice(term(skip), *texts, documented, block, comment, _ANY))
+
+
+_HERE = re.compile(rb"<<-?[ \t]*+(?P<q>[\"']?)(?P<w>\w+)(?P=q)[^\n]*+\n")
 
 
-def _hash_like(skip: bytes):
-    """Grammar of a shell: # comments that begin a word, quotes, here-documents (inside `skip`)."""
+def _here(s: State, i: int) -> int:
+    """A here-document up to the line that ends it."""
+    m = _HERE.match(s.text, i)
+    if m is None:
+        return -1
+    if s.lines is None:
+        s.lines, at = {}, 0
+        for x in s.text.split(b"\n"):
+            s.lines.setdefault(x.strip(b" \t\r"), []).append(at)
+            at += len(x) + 1
+    where = s.lines.get(m["w"], ())
+    k = bisect_left(where, m.end())
+    return where[k] if k < len(where) else -1
+
+
+def _hash_like(skip: bytes, function: bytes, texts: tuple):
+    """Grammar of a shell: # comments that begin a word, quotes, here-documents."""
     comment = rule(term(rb"\#[^\n\r]*+"))
     block = rule(seq(at_line_start, comment, star(seq(_EOL, _BLANKS, comment))))
-    head = act(block, lambda s, i, j: s.out.append(("block", i, j)))
-    start = act(term(rb""), lambda s, i, j: s.out.append(("def", i, j)))
-    return star(choice(term(skip), seq(head, _EOL, _BLANKS, start, unless(_EOL)), comment, _ANY))
+    documented = seq(act(block, _emit("block")), _EOL, _BLANKS, act(term(function), _emit("function")))
+    return star(choice(term(skip), *texts, _here, documented, block, comment, _ANY))
 
 
 def _python():
@@ -63,33 +89,45 @@ def _python():
     string = rb"(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|" + _DQ + rb"|" + _SQ + rb")"
     comment = rule(term(rb"\#[^\n\r]*+"))
     block = rule(seq(at_line_start, comment, star(seq(_EOL, _BLANKS, comment))))
-    head = act(block, lambda s, i, j: s.out.append(("block", i, j)))
-    attr = act(term(rb"@[\w.]+[ \t]*(?:" + _BALANCED + rb")?[^\n]*+\n[ \t]*+"), lambda s, i, j: s.out.append(("attr", i, j)))
-    start = act(term(rb"(?=(?:async[ \t]+)?def[ \t])"), lambda s, i, j: s.out.append(("def", i, j)))
+    head = act(block, _emit("block"))
+    attr = act(term(rb"@[\w.]+[ \t]*(?:" + _BALANCED + rb")?[^\n]*+\n[ \t]*+"), _emit("attr"))
+    start = act(term(rb"(?=(?:async[ \t]+)?def[ \t])"), _emit("function"))
     signature = term(rb"(?:async[ \t]+)?def[ \t]+\w+[ \t]*(?:\[[^\]]*+\])?[ \t]*" + _BALANCED + rb"[^:\n]*+(?:\[[^\]]*+\][^:\n]*+)?:[ \t]*+")
-    doc = act(term(rb"[rRuU]?" + string), lambda s, i, j: s.out.append(("string", i, j)))
+    doc = act(term(rb"[rRuU]?" + string), _emit("string"))
     body = choice(doc, seq(star(term(rb"[ \t]*+(?:\#[^\n]*+)?\r?\n"), 1), _BLANKS, doc))
     define = seq(opt(seq(head, _EOL, _BLANKS)), star(attr), start, opt(seq(signature, opt(body))))
     here = seq(at_line_start, ahead(term(rb"[\#@]|(?:async[ \t]+)?def[ \t]")), define)
     skip = term(rb"(?:[^\"'\#@da\\]++|[rRbBuUfF]{0,2}" + string + rb"|\\.|(?<=[^\n \t\xbf])[@da]|(?<=[ \t])(?<![\n ][ \t])(?<![\n \t][ \t])[@da]|d(?!ef[ \t])|a(?!sync[ \t]+def[ \t]))++")
-    return star(choice(skip, here, comment, _ANY))
+    return star(choice(skip, here, block, comment, _ANY))
 
 
-_GO = rb"(?:[^\"'`/]++|" + _DQ + rb"|`[^`]*+`|'(?:[^'\\\n]|\\.)++'|/(?![/*]))++"
-_RUST = rb"(?:[^\"'/r\#]++|r(?!\#*+\")|r\"[^\"]*+\"|r\#\"(?:[^\"]|\"(?!\#))*+\"\#|r\#\#\"(?:[^\"]|\"(?!\#\#))*+\"\#\#|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\\n]|\\[^\n]{1,9}?)'|'(?=\w)|/(?![/*])|(?<=[^\n \t])\#|\#(?!!?\[))++"
-_JS = rb"(?:[^\"'`/@]++|" + _DQ + rb"|" + _SQ + rb"|`(?:[^`\\]|\\.)*+`|/(?![/*])|(?<=[^\n \t])@)++"
-_JAVA = rb"(?:[^\"'/@]++|\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|" + _DQ + rb"|'(?:[^'\\\n]|\\.)++'|/(?![/*])|(?<=[^\n \t])@)++"
+_TICKS = closed(rb"`[^`]*+`")
+_TEMPLATE = closed(rb"`(?:[^`\\]|\\.)*+`")
+_QUOTED = closed(rb"\"(?:[^\"\\]|\\.)*+\"")
+_RAW = tuple(closed(rb"r\"[^\"]*+\"" if not n else rb"r\#{%d}\"(?:[^\"]|\"(?!\#{%d}))*+\"\#{%d}" % (n, n, n)) for n in range(4))
+_GO = rb"(?:[^\"'`/]++|" + _DQ + rb"|'(?:[^'\\\n]|\\.)++'|/(?![/*]))++"
+_RUST = rb"(?:[^\"'/r\#]++|r(?!\#*+\")|'(?:[^'\\\n]|\\[^\n]{1,9}?)'|'(?=\w)|/(?![/*])|(?<=[^\n \t])\#|\#(?!!?\[))++"
+_JS = rb"(?:[^\"'`/@]++|" + _DQ + rb"|" + _SQ + rb"|/(?![/*])|(?<=[^\n \t])@)++"
+_JAVA = rb"(?:[^\"'/@]++|(?!\"\"\")" + _DQ + rb"|'(?:[^'\\\n]|\\.)++'|/(?![/*])|(?<=[^\n \t])@)++"
 _C = rb"(?:[^\"'/]++|" + _DQ + rb"|'(?:[^'\\\n]|\\.)++'|/(?![/*]))++"
-_SHELL = rb"(?:[^\"'\#\\<\n]++|\n|\\.|\"(?:[^\"\\]|\\.)*+\"|'[^']*+'|<<-?[ \t]*+(?P<q>[\"']?)(?P<w>\w+)(?P=q)[^\n]*+\n(?:(?![ \t]*(?P=w)[ \t]*\r?(?:\n|\Z))[^\n]*+\n)*+|<|(?<=[^\s;|&(])\#)++"
+_SHELL = rb"(?:[^\"'\#\\<\n]++|\n|\\.|<(?!<)|(?<=[^\s;|&(])\#)++"
 _ANNOTATION = rb"@(?!interface\b)[\w.]+[ \t]*(?:" + _BALANCED + rb")?"
 
+# what begins a function or method in each language
+_GO_FUNCTION = rb"func\b[ \t]*(?:\([^)]*+\)\s*)?\w+\s*[\[(]"
+_RUST_FUNCTION = rb"(?:(?:pub(?:\s*\([^)]*+\))?|default|const|async|unsafe|extern(?:\s*\"[^\"\n]*+\")?)\s+)*+fn\s+(?:r\#)?\w+"
+_JS_FUNCTION = rb"(?:(?:export|default|declare|static|async|get|set|public|private|protected|readonly|abstract|override|accessor|function)\b(?!\s*[(=:;?<])\s*|\*\s*)*+(?:function\b\s*\*?\s*)?(?:[\#\w$]++|\[[^\]\n]*+\]|" + _DQ + rb"|" + _SQ + rb")?\s*[?!]?\s*(?:<[^;{}]*?>\s*)?\("
+_JAVA_FUNCTION = rb"(?!(?:return|throw|new|else)\b)(?:[\w.\[\]<>?,&$\s]++|@[\w.]++)++(?<=[\w$\s])\("
+_C_FUNCTION = rb"(?!(?:return|typedef|else|goto)\b)[\w\s*&:<>,~=!+\-\[\]]++\("
+_SHELL_FUNCTION = rb"(?:function[ \t]+[^\s(){}]+|[^\s(){}\#;&|]++[ \t]*\([ \t]*\))"
+
 GRAMMARS = {
-    "go": _c_like(_GO, rb"(?!)"),
-    "rust": _c_like(_RUST, rb"\#!?\[(?:[^\[\]\"]++|\"(?:[^\"\\]|\\.)*+\"|\[[^\[\]]*+\])*+\]"),
-    "js": _c_like(_JS, _ANNOTATION, rb"export[ \t]+(?:default[ \t]+)?"),
-    "java": _c_like(_JAVA, _ANNOTATION),
-    "c": _c_like(_C, rb"(?:__attribute__[ \t]*\(\([^)]*+\)\)|\[\[[^\]]*+\]\])"),
-    "bash": _hash_like(_SHELL),
+    "go": _c_like(_GO, _GO_FUNCTION, texts=(_TICKS,)),
+    "rust": _c_like(_RUST, _RUST_FUNCTION, rb"\#!?\[(?:[^\[\]\"]++|\"(?:[^\"\\]|\\.)*+\"|\[[^\[\]]*+\])*+\]", texts=(_QUOTED, *_RAW)),
+    "js": _c_like(_JS, _JS_FUNCTION, _ANNOTATION, rb"(?:export[ \t]+(?:default[ \t]+)?)?", texts=(_TEMPLATE,)),
+    "java": _c_like(_JAVA, _JAVA_FUNCTION, _ANNOTATION, texts=(closed(rb"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\""), term(_DQ))),
+    "c": _c_like(_C, _C_FUNCTION, rb"(?:__attribute__[ \t]*\(\([^)]*+\)\)|\[\[[^\]]*+\]\])"),
+    "bash": _hash_like(_SHELL, _SHELL_FUNCTION, (_QUOTED, closed(rb"'[^']*+'"))),
     "python": _python(),
 }
 
@@ -184,18 +222,21 @@ def informative(lines: tuple[str, ...], signature: str) -> bool:
     return False
 
 
-_SKIPPED = rb"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)'"
-_MARKS = re.compile(_SKIPPED + rb"|//[^\n]*|/\*.*?\*/|=>|[()\[\]{};\n]", re.S)
-_MARKS_PYTHON = re.compile(rb"\"\"\".*?\"\"\"|'''.*?'''|'(?:[^'\\\n]|\\.)*'|" + _SKIPPED + rb"|\#[^\n]*|[()\[\]{}:\n]", re.S)
+_SKIPPED = rb"\"(?:[^\"\\\n]|\\.)*\"|`[^`]*(?:`|\Z)|'(?:[^'\\\n]|\\.)'"
+_MARKS = re.compile(_SKIPPED + rb"|//[^\n]*|/\*.*?(?:\*/|\Z)|=>|[()\[\]{};\n]", re.S)
+_MARKS_PYTHON = re.compile(rb"\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|'(?:[^'\\\n]|\\.)*'|" + _SKIPPED + rb"|\#[^\n]*|[()\[\]{}:\n]", re.S)
 
 
-def signature_end(content: bytes, at: int, language: str) -> int:
+def signature_end(content: bytes, at: int, language: str, stop: int | None = None) -> int:
     """Where the signature that begins at a byte ends: at the mark that opens the body, outside of brackets, strings and comments.
 
+    stop: where the next documentation begins, behind which no signature goes on.
+
     Without such a mark it is the rest of the first line that ends outside of brackets, or of the first line.
     """
     depth, line, first = 0, -1, -1
-    for m in (_MARKS_PYTHON if language == "python" else _MARKS).finditer(content, at):
+    stop = len(content) if stop is None else stop
+    for m in (_MARKS_PYTHON if language == "python" else _MARKS).finditer(content, at, stop):
         x = m[0]
         if depth <= 0 and (x == b":" if language == "python" else x in (b"{", b";", b"=>")):
             return m.start()
@@ -206,62 +247,68 @@ def signature_end(content: bytes, at: int, language: str) -> int:
         elif x == b"\n":
             first = m.start() if first < 0 else first
             line = m.start() if line < 0 and depth <= 0 else line
-    return line if line >= 0 else first if first >= 0 else len(content)
-
+    return line if line >= 0 else first if first >= 0 else stop
 
-def documented(content: bytes, language: str):
-    """(row, first byte, last byte, description) of each place below documentation that tells something.
 
-    A function or method is documented if its node begins on `row`, at a byte between the two. Rows count from 0.
-    """
+def documented_at(content: bytes, language: str) -> list[tuple[int, int, int, list]]:
+    """(first byte of attributes or function, first byte of the function, first byte of the documentation, its parts) of
+    each function or method with documentation, as the grammar's actions emit them."""
     s = State(content)
     GRAMMARS[language](s, 0)
-    out, held, lo, end = [], [], None, -1
+    out, held = [], []
     for what, i, j in s.out:
         if what == "string":
-            if out:
-                out[-1][3] = [*out[-1][3], ("string", content[i:j])]
-            continue
-        gap = content[end:i] if end >= 0 else b"x"
-        if what in ("block", "none") or gap.strip() or gap.count(b"\n") > 1:
-            # what an attempt of the grammar that failed left behind, or something set off by a blank line
-            held, lo = [], None
-        if what == "def":
-            if language == "python" or any(m == "block" or b"doc" in raw for m, raw in held):
-                out.append([i if lo is None else lo, j, j, held])
-            held, lo, end = [], None, -1
-            continue
-        if what != "none":
-            held.append((what, content[i:j]))
-        lo = (j if what == "block" else i) if lo is None else lo
-        end = j
-    found = []
-    for lo, hi, at, docs in out:
-        if not docs:
-            continue
+            out[-1][3].append(("string", content[i:j]))
+        elif what != "function":
+            held.append((what, i, j))
+        else:
+            lo = i
+            for mark, x, y in held:
+                if mark == "attr" or mark == "block":
+                    lo = y if mark == "block" else x
+                    break
+            out.append((lo, i, held[0][1] if held else i, [(mark, content[x:y]) for mark, x, y in held]))
+            held = []
+    return [x for x in out if any(mark in ("block", "string") or b"doc" in raw for mark, raw in x[3])]
+
+
+def documented(content: bytes, language: str):
+    """(row, first byte, last byte, description) of each function or method whose documentation tells something.
+
+    Its node begins on `row`, at a byte between the two (attributes may belong to it or not). Rows count from 0.
+    """
+    found, row, counted = [], 0, 0
+    pairs = documented_at(content, language)
+    for k, (lo, at, _, docs) in enumerate(pairs):
+        stop = pairs[k + 1][2] if k + 1 < len(pairs) else len(content)
+        row, counted = row + content.count(b"\n", counted, lo), lo
         lines = [x for mark, raw in docs for x in _lines(raw, mark)]
-        head = content[at : signature_end(content, at, language)].decode("utf-8", "replace")
+        head = content[at : signature_end(content, at, language, max(at, stop))].decode("utf-8", "replace")
         if informative(tuple(lines), head):
             text = "\n".join(x for x in lines).strip()
-            row = content.count(b"\n", 0, lo) + (docs[0][0] == "block")
-            last = content.count(b"\n", 0, hi)
-            found += [(r, lo, hi, text) for r in range(row, last + 1)]
+            first = row + (docs[0][0] == "block")
+            last = row + content.count(b"\n", lo, at)
+            found += [(r, lo, at, text) for r in range(first, last + 1)]
     return found
 
 
 def documentation(files: DataFrame) -> DataFrame:
     """(source_id, row, lo, hi, description): the places below non-trivial documentation in each file.
 
-    One narrow stage over the whole content; it is never shuffled. Files without content, without id or of a language
-    without grammar give no rows; repeated rows give repeated places. Bytes that are no UTF-8 are replaced in texts,
+    One narrow stage over the whole content; it is never shuffled. The grammar is that of the
+    file's extension, else of the column `language`. Files without content, without id or of a language without grammar give no rows; repeated rows give repeated places. Bytes that are no UTF-8 are replaced in texts,
     offsets stay those of the source.
     """
+    def named(col, names: dict[str, str]):
+        return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[col]
+
     ext = F.lower(F.regexp_extract("id", r"\.([A-Za-z]+)$", 1))
-    src = files.select(F.col("id").alias("source_id"), ext.alias("ext"), "content").filter(F.col("content").isNotNull() & F.col("ext").isin(*LANGUAGES))
+    language = F.coalesce(named(ext, LANGUAGES), named(F.lower(F.trim("language")), SPELLINGS))
+    src = files.select(F.col("id").alias("source_id"), language.alias("grammar"), "content").filter(F.col("content").isNotNull() & F.col("source_id").isNotNull() & F.col("grammar").isNotNull())
 
     def run(batches):
         for b in batches:
-            rows = [(sid, *d) for sid, e, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) for d in documented(c, LANGUAGES[e])]
+            rows = [(sid, *d) for sid, e, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()) for d in documented(c, e)]
             cols = list(zip(*rows)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["source_id", "row", "lo", "hi", "description"])
 

@@ -6,15 +6,20 @@ import hashlib
 import math
 import re
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.skew import heavy_keys, salted_join
 from lodestrata.session import Workspace
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 HAND, GEN, MIN, VEND, BLOB = range(5)
 DIR_WEIGHT = 10.0
+MECHANICAL = 2.0
+COPIED = 9.5
 
 # ---------------------------------------------------------------- evidence of one file
 
@@ -43,6 +48,8 @@ _VEND_DIR = re.compile(r"^(?:vendor|vendored|third[-_]?party|3rdparty|node_modul
 _MODULE = re.compile(r"^/\* ?(?:module \d+:|\d+ ?\*/)|^//\# ?sourceMappingURL=|__webpack_require__|^\s*!function\(", re.M)
 _DATA_LINE = re.compile(r"[\s\[{(]*+(?:\d+\s*:\s*)?[\[({]*+(?:(?:[bru]?\"[^\"\s]{16,}+\"|[bru]?'[^'\s]{16,}+'|-?(?:0x[0-9a-fA-F]++|[\d.]++(?:e-?\d+)?)\w{0,3})[\s\])}+]*+[,;]?\s*+[\[({]*+)++[\])}\s;,+]*+$")
 _MASK = re.compile(r"\d+")
+#: what any announcement holds somewhere; texts without it needn't be read line by line
+_ANNOUNCES = re.compile(r"generat|produced|compiled|emitted|written|created|erzeugt|generier|erstellt|g[ée]n[ée]r|generado|gerado|автоматич|自动|自動|vendored|third[- ]party|upstream|copied|imported|taken|pulled|lifted|v?\d+\.\d+", re.I)
 
 
 #: log likelihood of a content that shows no mark of a label
@@ -77,23 +84,25 @@ def _marks(path: str, content: bytes | None) -> list[float]:
     full = [x for x in lines if x.strip()]
     if not full:
         return e
-    # announcements: at the head, after blank or comment lines; at the end
-    seen = 0
-    for x in lines[:60]:
-        s = x.strip()
-        if not s:
-            continue
-        is_comment = s[:1] in "/#*;" or s[:2] in ("--", "<!") or s[:3] in ('"""', "'''")
-        if not is_comment:
-            seen += 1
-        body = _COMMENT.match(s)[1]
-        if is_comment and body and not _NOT_MARK.match(body):
-            if _GENERATED.match(body) or _FOREIGN.match(body):
-                e[GEN] += 9.0 if seen <= 25 else 4.0
-                break
-            if seen <= 3 and _VENDORED.match(body):
-                e[VEND] += 8.0
-                break
+    # announcements: in any comment line, the further behind the less they say about the whole file
+    if _ANNOUNCES.search(text):
+        seen = 0
+        for x in lines:
+            s = x.strip()
+            if not s:
+                continue
+            is_comment = s[:1] in "/#*;" or s[:2] in ("--", "<!") or s[:3] in ('"""', "'''")
+            if not is_comment:
+                seen += 1
+                continue
+            body = _COMMENT.match(s)[1]
+            if body and not _NOT_MARK.match(body):
+                if _GENERATED.match(body) or _FOREIGN.match(body):
+                    e[GEN] += 9.0 if seen <= 25 else max(3.0, 9.0 * 25 / seen)
+                    break
+                if _VENDORED.match(body):
+                    e[VEND] += 8.0 if seen <= 3 else max(1.0, 8.0 * 3 / seen)
+                    break
     for x in full[-3:]:
         s = x.strip()
         body = _COMMENT.match(s)[1]
@@ -114,29 +123,38 @@ def _marks(path: str, content: bytes | None) -> list[float]:
         e[MIN] += 2.5
     digits = sum(map(text.count, "0123456789"))
     sparse = digits > 0.12 * n or spaces < 0.12 or text.count('"') + text.count("'") > len(full)
-    data = sum(1 for x in full if _DATA_LINE.match(x)) if sparse and n > 600 else 0
+    data = sum(1 for x in full if _DATA_LINE.match(x)) if sparse else 0
     share = data / len(full)
-    if len(full) >= 4 and n > 600 and (share > 0.7 or share > 0.5 and digits > 0.3 * n):
-        e[BLOB] += 9.5
-    elif n > 900 and digits > 0.3 * n and spaces < 0.35:
-        e[BLOB] += 7.5
+    if len(full) >= 4 and (share > 0.7 or share > 0.5 and digits > 0.3 * n):
+        e[BLOB] += 9.5 * min(1.0, n / 600)  # a short table says less
+    elif digits > 0.3 * n and spaces < 0.35:
+        e[BLOB] += 7.5 * min(1.0, n / 900)
     elif any(len(x) > 400 and re.search(r"[\"'`][A-Za-z0-9+/=_-]{300,}[\"'`]", x) for x in code):
         e[BLOB] += 7.5
-    # mechanical text: neighbouring lines that differ in digits only
+    # mechanical text: neighbouring lines that differ in digits only; people write such too, so its neighbourhood decides
     masked = [_MASK.sub("0", x.strip()) for x in code]
     same = sum(a == b and "0" in a for a, b in zip(masked, masked[1:]))
     if same >= 2 and len(code) >= 5 and e[BLOB] == 0:
-        e[GEN] += 6.5 if same >= 0.08 * len(code) else 1.0
+        e[GEN] += MECHANICAL if same >= 0.08 * len(code) else 1.0
     return e
 
 
-def fingerprint(content: bytes | None) -> bytes | None:
-    """Hash of a text without leading comments, line ends, blanks and mark, so that copies meet; None for short ones."""
+def fingerprint(content: bytes | None) -> tuple[bytes | None, int]:
+    """Hash of a text without leading comments, line ends, blanks and mark, so that copies meet, and its length; (None, 0) without text."""
     if not content:
-        return None
-    text = content.decode("utf-8", "replace").lstrip("﻿")
+        return None, 0
+    text = content.decode("utf-8", "replace").lstrip("\ufeff")
     body = "\n".join(x for x in (y.strip() for y in text.splitlines()) if x and x[:2] not in ("//", "/*") and x[:1] not in "*#")
-    return hashlib.blake2b(body.encode(), digest_size=12).digest() if len(body) >= 300 else None
+    return (hashlib.blake2b(body.encode(), digest_size=12).digest(), len(body)) if body else (None, 0)
+
+
+def siblings_of(name: str) -> str:
+    """What files of one directory that belong together have in common: the first word of the name and the extension."""
+    stem, _, ext = name.partition(".")
+    return f"{_FIRST_WORD.match(stem)[0].lower()}.{ext.rsplit('.', 1)[-1].lower()}"
+
+
+_FIRST_WORD = re.compile(r"[^\W\d_]*")
 
 
 def directory_evidence(name: str) -> list[float]:
@@ -166,91 +184,206 @@ _DIR_DIR = [_normed(r) for r in [_ROOT] + [[0.0 if a == b else -7.0 if a in (GEN
 _DIR_FILE = [_normed(r) for r in [[0.0, -3.5, -4.2, -4.2, -4.8]] + [[0.0 if a == b else -7.0 if a in (GEN, VEND) else -1.5 if b == HAND else -3.0 for b in range(5)] for a in range(1, 5)]]
 
 
-def _messages(df: DataFrame, keep: list[str], terms: list[str], table: list[list[float]], name: str, up: bool) -> DataFrame:
-    """keep and name0..name4: log sum over the sender's labels of exp(term + compatibility), per label of the receiver.
+#: log compatibility of a group of siblings (row) with each of its files: they mostly are alike
+_GROUP_FILE = [_normed([0.0 if a == b else -2.5 for b in range(5)]) for a in range(5)]
+
+E, B, M, P = ([f"{x}{i}" for i in range(5)] for x in "ebmp")
+MOST_DIRECTORIES = 50_000  # of a subtree that is passed over in one task
 
-    up: the sender is the child, a column of the table. Arrays keep the expression small enough for generated code.
+
+def _passed(terms: list[str], table: list[list[float]], up: bool) -> str:
+    """SQL of an array: log sum over the sender's labels of exp(term + compatibility), per label of the receiver.
+
+    up: the sender is the child, a column of the table.
     """
     rows = [list(r) for r in zip(*table)] if up else table
     to = ", ".join("array(" + ", ".join(f"{rows[x][y]}D" for x in range(5)) + ")" for y in range(5))
-    held = df.selectExpr(*keep, f"array({', '.join(terms)}) AS _t").withColumn("_top", F.array_max("_t"))
-    sums = f"transform(array({to}), c -> _top + ln(aggregate(zip_with(_t, c, (x, y) -> exp(x + y - _top)), 0D, (s, v) -> s + v)))"
-    return held.selectExpr(*keep, f"{sums} AS _m").selectExpr(*keep, *[f"_m[{i}] AS {name}{i}" for i in range(5)])
+    t = f"array({', '.join(terms)})"
+    return f"transform(array({to}), c -> array_max({t}) + ln(aggregate(zip_with({t}, c, (x, y) -> exp(x + y - array_max({t}))), 0D, (s, v) -> s + v)))"
+
+
+def _spread(array: str, names: list[str]) -> list:
+    return [F.col(array)[i].alias(n) for i, n in enumerate(names)]
+
+
+def _log_sum(terms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Per row and label y: log sum over x of exp(terms[x] + table[x][y])."""
+    t = terms[:, :, None] + table[None, :, :]
+    top = t.max(axis=1)
+    return top + np.log(np.exp(t - top[:, None, :]).sum(axis=1))
+
+
+_DOWN = np.array(_DIR_DIR)
+
 
+def _pass_over(depth: np.ndarray, parent: np.ndarray, own: np.ndarray, into: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Beliefs of the directories of a subtree and the message of its root (the one without a parent in it).
 
-def classify(files: DataFrame) -> DataFrame:
+    own: potentials with what files say; parent: row of the parent or -1; into: what the root hears from above.
+    """
+    b, said = own.copy(), np.zeros_like(own)
+    levels = [np.flatnonzero(depth == d) for d in np.unique(depth)]
+    for at in reversed(levels):
+        said[at] = _log_sum(b[at], _DOWN.T)
+        inner = at[parent[at] >= 0]
+        np.add.at(b, parent[inner], said[inner])
+    root = np.flatnonzero(parent < 0)
+    up = said[root].copy()
+    if into is not None:
+        b[root] += into
+    for at in levels:
+        inner = at[parent[at] >= 0]
+        if len(inner):
+            b[inner] += _log_sum(b[parent[inner]] - said[inner], _DOWN)
+    return b, up
+
+
+def _subtree(p: pd.DataFrame, heard: bool):
+    rows = {d: i for i, d in enumerate(p["dir"])}
+    parent = np.array([-1 if d == r else rows.get(q, -1) for d, q, r in zip(p["dir"], p["parent"], p["block"])], dtype=np.int64)
+    into = None
+    root = int(np.flatnonzero(parent < 0)[0])
+    if heard and not np.isnan(p["h0"].iloc[root]):
+        into = p.loc[p.index[root], [f"h{i}" for i in range(5)]].to_numpy(dtype=float)
+    b, up = _pass_over(p["depth"].to_numpy(), parent, p[B].to_numpy(dtype=float), into)
+    return p, b, up, root
+
+
+def _block_says(p: pd.DataFrame) -> pd.DataFrame:
+    p, _, up, root = _subtree(p, False)
+    return pd.DataFrame([[p["parent"].iloc[root], *up[0]]], columns=["at", *M])
+
+
+def _block_beliefs(p: pd.DataFrame) -> pd.DataFrame:
+    p, b, _, _ = _subtree(p, True)
+    return pd.concat([p[["dir"]].reset_index(drop=True), pd.DataFrame(b, columns=B)], axis=1)
+
+
+def _directories(ws: Workspace, node: DataFrame, most: int) -> DataFrame:
+    """(dir, b0..b4): beliefs of all directories; node: (dir, parent, depth, b0..b4) with potentials and what files say.
+
+    Subtrees of up to `most` directories are passed over as a whole, each in one task, so the number of jobs doesn't
+    depend on how deep paths are. Only directories above larger subtrees (at most depth / most of all) go level by level.
+    """
+    segs = F.split("dir", "/")
+    above = node.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))).alias("top"))
+    small = above.groupBy("top").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= most).select("top")
+    # a small subtree has at most `most` rows here, so this join has no hot key
+    block = above.join(small, "top").groupBy("dir").agg(F.min(F.struct(F.length("top").alias("n"), "top")).alias("b")).select("dir", F.col("b.top").alias("block"))
+    node = ws.write(node.join(block, "dir", "left"))
+    inside, top = node.filter(F.col("block").isNotNull()), node.filter(F.col("block").isNull())
+    none = [F.lit(None).cast("double").alias(f"h{i}") for i in range(5)]
+    out = ", ".join(["dir string", *[f"{x} double" for x in B]])
+    deepest = top.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return inside.select("dir", "parent", "depth", "block", *B, *none).groupBy("block").applyInPandas(_block_beliefs, out)
+    said = inside.groupBy("block").applyInPandas(_block_says, ", ".join(["at string", *[f"{x} double" for x in M]]))
+    said = ws.write(said.groupBy("at").agg(*[F.sum(x).alias(x) for x in M]))
+    # up and down the few directories that are left
+    levels, below = {}, None
+    for d in range(deepest, 0, -1):
+        own = top.filter(F.col("depth") == d).join(said, F.col("dir") == F.col("at"), "left").select("dir", "parent", "depth", *[(F.col(b) + F.coalesce(m, F.lit(0.0))).alias(b) for b, m in zip(B, M)])
+        if below is not None:
+            got = below.groupBy("parent").agg(*[F.sum(m).alias(m) for m in M]).withColumnRenamed("parent", "at")
+            own = own.join(got, F.col("dir") == F.col("at"), "left").select("dir", "parent", "depth", *[(F.col(b) + F.coalesce(m, F.lit(0.0))).alias(b) for b, m in zip(B, M)])
+        own = own.withColumn("_m", F.expr(_passed(B, _DIR_DIR, True))).select("dir", "parent", "depth", *B, *_spread("_m", M))
+        levels[d] = below = ws.write(own)
+    done, heard = None, lambda up, own: (  # what a child hears from its parent leaves out what it said itself
+        own.join(up.select(F.col("dir").alias("at"), *[F.col(b).alias(x) for b, x in zip(B, P)]), F.col("parent") == F.col("at")).withColumn("_h", F.expr(_passed([f"{x} - {m}" for x, m in zip(P, M)], _DIR_DIR, False)))
+    )
+    for d in range(1, deepest + 1):
+        full = levels[d].select("dir", *B) if d == 1 else heard(over, levels[d]).select("dir", *[(F.col(b) + F.col("_h")[i]).alias(b) for i, b in enumerate(B)])
+        over = ws.write(full)
+        done = over if done is None else done.unionByName(over)
+    roots = inside.filter((F.col("dir") == F.col("block")) & F.col("parent").isNotNull())
+    alone = inside.groupBy("block").applyInPandas(_root_says, ", ".join(["block string", "parent string", *[f"{x} double" for x in M]])).filter(F.col("parent").isNotNull())
+    into = heard(done, alone.join(roots.select("block").distinct(), "block", "left_semi")).select("block", *_spread("_h", [f"h{i}" for i in range(5)]))
+    rest = inside.select("dir", "parent", "depth", "block", *B).join(into, "block", "left").groupBy("block").applyInPandas(_block_beliefs, out)
+    return done.unionByName(ws.write(rest))
+
+
+def _root_says(p: pd.DataFrame) -> pd.DataFrame:
+    p, _, up, root = _subtree(p, False)
+    return pd.DataFrame([[p["block"].iloc[0], p["parent"].iloc[root], *up[0]]], columns=["block", "parent", *M])
+
+
+def classify(files: DataFrame, most_directories: int = MOST_DIRECTORIES, salts: int = 32) -> DataFrame:
     """(source_id, label, p_handwritten) of every distinct non-NULL id: the likeliest of the five labels.
 
-    A factor tree per repository: files are leaves, directories inner nodes. Leaves have potentials from name, content
-    and copies in other repositories; directories from their names. Messages go up level by level, from the deepest
-    directories to the root, and down again; a directory receives the sum of its children's log messages, so a directory
-    with any number of files is aggregated partially, never gathered. On a tree the beliefs are exact after both passes.
-    The number of passes is the depth of the deepest path. Rows of one id: the potentials are averaged; content NULL
-    leaves the name and the neighbours. A text found in several repositories counts as a copy (a join on its hash).
+    A factor tree per repository: files are leaves, files of a directory whose names begin alike form a group of
+    siblings under it, directories are inner nodes. Leaves have potentials from name, content and copies in other
+    repositories; directories from their names; parents and siblings speak through compatibilities. Messages go up to
+    the root and down again; a node receives the sum of its children's log messages, so one with any number of files is
+    aggregated partially, never gathered, and joins back to busy directories, groups and texts are salted. On a tree the
+    beliefs are exact after both passes.
+
+    Rows of one id: the potentials are averaged; content NULL leaves the name and the neighbours. A text found in
+    several repositories counts as a copy, the less the shorter it is; not so where it was first: the earliest ingested
+    file among those that neither a mark nor a directory calls a copy, and others in that repository. Tables without
+    rows give none.
     """
     spark = files.sparkSession
     ws = Workspace(spark, "provenance")
-    src = files.filter(F.col("id").isNotNull()).select("id", "content")
-    cols, beliefs = [f"e{i}" for i in range(5)], [f"b{i}" for i in range(5)]
+    src = files.filter(F.col("id").isNotNull()).select("id", "content", F.col("ingested_at") if "ingested_at" in files.columns else F.lit(None).cast("timestamp").alias("ingested_at"))
 
     def run(batches):
         for b in batches:
             ids, contents = b.column(0).to_pylist(), b.column(1).to_pylist()
             ev = [evidence(i, c) for i, c in zip(ids, contents)]
-            arrays = [b.column(0), pa.array([fingerprint(c) for c in contents], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array([x[k] for x in ev], pa.float64()) for k in range(5)]], names=["id", "print", *cols])
-
-    seen = ws.write(src.mapInArrow(run, "id string, print binary, " + ", ".join(f"{c} double" for c in cols)))
-    # one count per (text, repository) before the texts are counted, so a text found everywhere is folded early
-    repos = seen.filter(F.col("print").isNotNull()).select("print", F.substring_index("id", "/", 1).alias("repo")).distinct()
-    copies = repos.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("print").alias("copied"), "n")
-    leaf = seen.join(copies, F.col("print") == F.col("copied"), "left").groupBy("id").agg(*[F.avg(c).alias(c) for c in cols], F.max("n").alias("n"))
-    leaf = leaf.withColumn(f"e{VEND}", F.col(f"e{VEND}") + F.when(F.col("n") > 1, 9.5).otherwise(0.0))
-    leaf = leaf.withColumn("dir", F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise(F.lit("")))
-    leaf = ws.write(leaf.select("id", "dir", *cols))
+            marks = [fingerprint(c) for c in contents]
+            arrays = [b.column(0), b.column(2), pa.array([siblings_of(i.rsplit("/", 1)[-1]) for i in ids]), pa.array([m[0] for m in marks], pa.binary()), pa.array([m[1] for m in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array([x[k] for x in ev], pa.float64()) for k in range(5)]], names=["id", "ingested_at", "alike", "print", "size", *E])
+
+    made = src.mapInArrow(run, f"id string, ingested_at {src.schema['ingested_at'].dataType.simpleString()}, alike string, print binary, size long, " + ", ".join(f"{c} double" for c in E))
+    dir_ = F.when(F.col("id").contains("/"), F.regexp_replace("id", "/[^/]*$", "")).otherwise(F.lit(""))
+    made = made.withColumn("dir", dir_).withColumn("repo", F.substring_index("id", "/", 1))
+    called = F.exists(F.split(F.lower("dir"), "/"), lambda x: x.rlike(_VEND_DIR.pattern))
+    seen = ws.write(made.withColumn("called", called | (F.col(f"e{VEND}") > 5)))
+    total = seen.count()
+
+    # texts in several repositories: one row per (text, repository) before the texts are counted
+    first = F.min(F.when(~F.col("called"), F.struct(F.coalesce(F.col("ingested_at").cast("timestamp"), F.expr("TIMESTAMP '9999-01-01'")).alias("t"), "repo"))).alias("first")
+    per = seen.filter(F.col("print").isNotNull()).groupBy("print", "repo").agg(first, F.count(F.lit(1)).alias("n"))
+    copies = per.groupBy("print").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"), F.min("first").alias("first")).filter("repos > 1").select("print", "n", F.col("first.repo").alias("home"))
+    copies = ws.write(copies)
+    found = salted_join(seen.filter(F.col("print").isNotNull()), copies, "print", heavy_keys(copies, "print", "n", total), salts, "id")
+    copied = found.select("id", F.when(F.col("called") | F.col("home").isNull() | (F.col("repo") != F.col("home")), COPIED * F.least(F.lit(1.0), F.col("size") / 300)).otherwise(0.0).alias("c"), F.lit(0).alias("k"))
+    own = seen.select("id", "dir", "alike", *E, F.lit(0.0).alias("c"), F.lit(1).alias("k")).unionByName(copied, allowMissingColumns=True)
+    leaf = own.groupBy("id").agg(F.max("dir").alias("dir"), F.max("alike").alias("alike"), *[F.avg(c).alias(c) for c in E], F.max("c").alias("c"))
+    leaf = ws.write(leaf.select("id", "dir", "alike", *[(F.col(c) + F.col("c")).alias(c) if i == VEND else F.col(c) for i, c in enumerate(E)]))
     ws.drop(seen)
+    ws.drop(copies)
+
+    # files to groups of siblings (alone in its group a file is the group), groups to directories
+    told = leaf.withColumn("_m", F.expr(_passed(E, _GROUP_FILE, True)))
+    group = told.groupBy("dir", "alike").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in E], *[F.sum(F.col("_m")[i]).alias(f"s{i}") for i in range(5)])
+    group = group.select("dir", "alike", "n", *[F.when(F.col("n") == 1, F.col(c)).otherwise(F.col(f"s{i}")).alias(f"g{i}") for i, c in enumerate(E)])
+    G = [f"g{i}" for i in range(5)]
+    group = ws.write(group.withColumn("_m", F.expr(_passed(G, _DIR_FILE, True))).select("dir", "alike", "n", *G, *_spread("_m", M)))
+    up_leaf = group.groupBy("dir").agg(F.count(F.lit(1)).alias("groups"), *[F.sum(m).alias(m) for m in M])
 
     # directories with their depth; every ancestor of a file's directory once
     segs = F.split("dir", "/")
-    dirs = leaf.select("dir").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))).alias("dir")).distinct()
-    last = F.substring_index("dir", "/", -1)
+    dirs = group.select("dir").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size(segs)), lambda k: F.array_join(F.slice(segs, 1, k), "/"))).alias("dir")).distinct()
+    last = F.lower(F.substring_index("dir", "/", -1))
     parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", ""))
-    gen = F.lower(last).rlike(_GEN_DIR.pattern)
-    vend = F.lower(last).rlike(_VEND_DIR.pattern)
     root = ~F.col("dir").contains("/")
-    pot = [F.when(root, F.lit(_ROOT[i])).otherwise(0.0) + (F.when(gen & ~root, DIR_WEIGHT).otherwise(0.0) if i == GEN else F.when(vend & ~root, DIR_WEIGHT).otherwise(0.0) if i == VEND else F.lit(0.0)) for i in range(5)]
-    up_leaf = _messages(leaf, ["dir"], cols, _DIR_FILE, "m", True).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
-    node = dirs.select("dir", parent.alias("parent"), F.size(segs).alias("depth"), *[p.alias(f"d{i}") for i, p in enumerate(pot)])
-    node = node.join(up_leaf, "dir", "left").select("dir", "parent", "depth", *[(F.col(f"d{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)])
-    node = ws.write(node)
-    deepest = node.agg(F.max("depth")).first()[0] or 0
-
-    # up: b of a directory is its own potential plus all messages from below
-    levels, below = {}, None
-    for d in range(deepest, 0, -1):
-        own = node.filter(F.col("depth") == d)
-        if below is not None:
-            got = _messages(below, ["parent"], beliefs, _DIR_DIR, "m", True).withColumnRenamed("parent", "at").groupBy("at").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(5)])
-            own = own.join(got, F.col("dir") == F.col("at"), "left").select("dir", "parent", "depth", *[(F.col(f"b{i}") + F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)])
-        levels[d] = below = ws.write(own)
-    # down: what a child hears from its parent leaves out what it said itself
-    done = None
-    for d in range(1, deepest + 1):
-        own = levels[d]
-        if d == 1:
-            full = own.select("dir", *[f"b{i}" for i in range(5)])
-        else:
-            said = _messages(own, ["dir", "parent", *beliefs], beliefs, _DIR_DIR, "m", True)
-            up = above.select(F.col("dir").alias("at"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(5)])
-            heard = _messages(said.join(up, F.col("parent") == F.col("at")), ["dir", *beliefs], [f"p{i} - m{i}" for i in range(5)], _DIR_DIR, "h", False)
-            full = heard.select("dir", *[(F.col(f"b{i}") + F.col(f"h{i}")).alias(f"b{i}") for i in range(5)])
-        above = ws.write(full)
-        done = above if done is None else done.unionByName(above)
-    said = _messages(leaf, ["id", "dir", *cols], cols, _DIR_FILE, "m", True)
-    up = (done if done is not None else node.select("dir", *[f"b{i}" for i in range(5)])).select(F.col("dir").alias("at"), *[F.col(f"b{i}").alias(f"p{i}") for i in range(5)])
-    heard = _messages(said.join(up, F.col("dir") == F.col("at"), "left"), ["id", *cols], [f"coalesce(p{i} - m{i}, 0D)" for i in range(5)], _DIR_FILE, "h", False)
-    belief = heard.select("id", *[(F.col(f"e{i}") + F.col(f"h{i}")).alias(f"b{i}") for i in range(5)])
-    top = F.greatest(*[f"b{i}" for i in range(5)])
-    label = F.coalesce(*[F.when(F.col(f"b{i}") == top, LABELS[i]) for i in range(5)])
-    z = sum((F.exp(F.col(f"b{i}") - top) for i in range(5)), F.lit(0.0))
-    return belief.select(F.col("id").alias("source_id"), label.alias("label"), (F.exp(F.col("b0") - top) / z).alias("p_handwritten"))
+    named = {GEN: last.rlike(_GEN_DIR.pattern), VEND: last.rlike(_VEND_DIR.pattern)}
+    pot = [F.when(root, F.lit(_ROOT[i])).when(named[i], DIR_WEIGHT).otherwise(0.0) if i in named else F.when(root, F.lit(_ROOT[i])).otherwise(0.0) for i in range(5)]
+    node = dirs.select("dir", parent.alias("parent"), F.size(segs).alias("depth"), *[x.alias(f"d{i}") for i, x in enumerate(pot)]).join(up_leaf, "dir", "left")
+    node = node.select("dir", "parent", "depth", *[(F.col(f"d{i}") + F.coalesce(m, F.lit(0.0))).alias(b) for i, (m, b) in enumerate(zip(M, B))])
+    belief = ws.write(_directories(ws, node, most_directories))
+
+    # and down: directories to groups, groups to files
+    upper = belief.select("dir", *[F.col(b).alias(x) for b, x in zip(B, P)])
+    busy = heavy_keys(up_leaf, "dir", "groups", total)
+    down = salted_join(group, upper, "dir", busy, salts, "alike").withColumn("_h", F.expr(_passed([f"{x} - {m}" for x, m in zip(P, M)], _DIR_FILE, False)))
+    down = ws.write(down.select(F.concat_ws("/", "dir", "alike").alias("g"), "n", *[(F.col(g) + F.col("_h")[i]).alias(g) for i, g in enumerate(G)]))
+    crowded = heavy_keys(down, "g", "n", total)
+    said = leaf.select("id", F.concat_ws("/", "dir", "alike").alias("g"), *E, F.expr(_passed(E, _GROUP_FILE, True)).alias("_m"))
+    heard = salted_join(said, down, "g", crowded, salts, "id").withColumn("_h", F.expr(_passed([f"g{i} - _m[{i}]" for i in range(5)], _GROUP_FILE, False)))
+    belief = heard.select("id", *[F.when(F.col("n") == 1, F.col(f"g{i}")).otherwise(F.col(f"e{i}") + F.col("_h")[i]).alias(b) for i, b in enumerate(B)])
+    best = F.greatest(*B)
+    label = F.coalesce(*[F.when(F.col(b) == best, LABELS[i]) for i, b in enumerate(B)])
+    z = sum((F.exp(F.col(b) - best) for b in B), F.lit(0.0))
+    return belief.select(F.col("id").alias("source_id"), label.alias("label"), (F.exp(F.col("b0") - best) / z).alias("p_handwritten"))

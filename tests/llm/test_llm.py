@@ -85,7 +85,7 @@ def test_propagation_labels(spark):
     lib = ("package b\n" + "\n".join(f"func G{i}(x int) int {{ return step(x, {i * 7 % 5}) }}" for i in range(12))).encode()
     rows = [("r/src/a.go", "go", plain), ("r/gen/b.go", "go", plain + b"// x\n"), ("r/x/c.pb.go", "go", plain), ("r/x/d.go", "go", b"// Code generated by tool v1. DO NOT EDIT.\n" + plain), ("r/x/e.go", "go", b"// Detects files marked as generated by tools.\n" + plain)]
     rows += [("r/x/f.min.js", "js", b"var a=1;" * 200), ("r/x/n.go", "go", None), ("r/vendor/l/n.go", "go", None), ("r/vendors/p.go", "go", plain), (None, "go", plain), ("r/x/empty.go", "go", b"")]
-    rows += [("r/x/data.py", "python", b"D = [\n" + b"    0x12, 0x34, 0x56, 0x78, 0x9a, 0xbc,\n" * 40 + b"]\n"), ("q/third_party/l/l.go", "go", lib), ("s/src/l.go", "go", b"// own words\n" + lib), ("r/src/a.go", "go", plain), ("top.go", "go", plain)]
+    rows += [("r/x/data.py", "python", b"D = [\n" + b"    0x12, 0x34, 0x56, 0x78, 0x9a, 0xbc,\n" * 40 + b"]\n"), ("q/third_party/l/l.go", "go", lib), ("s/src/l.go", "go", b"// Copied from upstream\n" + lib), ("r/src/a.go", "go", plain), ("top.go", "go", plain)]
     got = {r.source_id: r.label for r in P.classify(files(spark, rows)).collect()}
     assert got == {
         "r/src/a.go": "handwritten", "r/gen/b.go": "generated", "r/x/c.pb.go": "generated", "r/x/d.go": "generated", "r/x/e.go": "handwritten", "r/x/f.min.js": "minified", "r/x/n.go": "handwritten", "r/vendor/l/n.go": "vendored",
@@ -94,26 +94,58 @@ def test_propagation_labels(spark):
     assert P.classify(files(spark, []).limit(0)).count() == 0
 
 
-def test_propagation_is_exact_on_a_tree(spark):
-    """Beliefs of a small tree equal the sums over all labellings."""
+@pytest.mark.parametrize("most", [50_000, 2, 1, 0])
+def test_propagation_is_exact_on_a_tree(spark, most):
+    """Beliefs of a small tree equal the sums over all labellings, in whatever blocks its directories are passed over."""
     import itertools
     import math
 
-    ids = ["r/gen/a.go", "r/gen/b.go", "r/c.go"]
+    ids = ["r/gen/a1.go", "r/gen/a2.go", "r/c.go", "r/x/y/d.go"]
     ev = {i: P.evidence(i, b"package a\n") for i in ids}
-    dirs = {"r": P.directory_evidence(""), "r/gen": P.directory_evidence("gen")}
+    dirs = {"r": P.directory_evidence(""), "r/gen": P.directory_evidence("gen"), "r/x": P.directory_evidence("x"), "r/x/y": P.directory_evidence("y")}
+    e = lambda table: np.exp(np.array(table))
+    pot = {k: e(v) for k, v in (ev | dirs).items()}
     want = {}
     for i in ids:
         w = [0.0] * 5
-        for lab in itertools.product(range(5), repeat=5):
-            d, f = dict(zip(dirs, lab[:2])), dict(zip(ids, lab[2:]))
-            e = P._ROOT[d["r"]] + sum(dirs[k][v] for k, v in d.items()) + sum(ev[k][v] for k, v in f.items()) + P._DIR_DIR[d["r"]][d["r/gen"]] + P._DIR_FILE[d["r"]][f["r/c.go"]] + sum(P._DIR_FILE[d["r/gen"]][f[k]] for k in ids[:2])
-            w[f[i]] += math.exp(e)
+        for r, g, x, y, group, f in itertools.product(range(5), repeat=6):
+            base = math.exp(P._ROOT[r]) * pot["r"][r] * pot["r/gen"][g] * pot["r/x"][x] * pot["r/x/y"][y] * math.exp(P._DIR_DIR[r][g] + P._DIR_DIR[r][x] + P._DIR_DIR[x][y] + P._DIR_FILE[g][group])
+            leaf = {
+                "r/gen/a1.go": lambda v: math.exp(P._GROUP_FILE[group][v]) * pot["r/gen/a1.go"][v], "r/gen/a2.go": lambda v: math.exp(P._GROUP_FILE[group][v]) * pot["r/gen/a2.go"][v],
+                "r/c.go": lambda v: math.exp(P._DIR_FILE[r][v]) * pot["r/c.go"][v], "r/x/y/d.go": lambda v: math.exp(P._DIR_FILE[y][v]) * pot["r/x/y/d.go"][v],
+            }
+            for k, m in leaf.items():
+                base *= m(f) if k == i else sum(map(m, range(5)))
+            w[f] += base
         want[i] = w[0] / sum(w)
-    got = {r.source_id: r.p_handwritten for r in P.classify(files(spark, [(i, "go", b"package a\n") for i in ids])).collect()}
+    got = {r.source_id: r.p_handwritten for r in P.classify(files(spark, [(i, "go", b"package a\n") for i in ids]), most_directories=most).collect()}
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_neighbours_decide_what_files_leave_open(spark):
+    """Files without content or with weak marks follow their directory and their siblings."""
+    plain = b"package a\n\nfunc F(a int) error {\n\tdefer load(a)\n\treturn nil\n}\n"
+    marked = b"// Code generated by tool v1. DO NOT EDIT.\n" + plain
+    mechanical = b"package a\n\nfunc F() {\n" + b"".join(b"\ts.f%d = %d\n" % (i, 3 * i) for i in range(6)) + b"}\n"
+    rows = [(f"r/x/user{i}.go", "go", marked) for i in range(4)] + [("r/x/user9.go", "go", None), ("r/x/other.go", "go", None), ("r/x/user_own.go", "go", plain)]
+    rows += [("r/a/m.go", "go", mechanical), ("r/gen/m.go", "go", mechanical), *[(f"r/a/p{i}.go", "go", plain + b"// %d" % i) for i in range(5)]]
+    got = {r.source_id: r.label for r in P.classify(files(spark, rows)).collect()}
+    assert got["r/x/user9.go"] == "generated" and got["r/x/other.go"] == "handwritten" and got["r/x/user_own.go"] == "handwritten"
+    assert got["r/a/m.go"] == "handwritten" and got["r/gen/m.go"] == "generated"
+
+
+def test_marks_anywhere_and_the_first_copy(spark):
+    mark = b"// Code generated by tool v1. DO NOT EDIT.\n"
+    far = b"".join(b"%s(a, load(b));\n" % (b"abcdefg"[i % 7 : i % 7 + 1] * (1 + i % 5)) for i in range(300))
+    g = lambda t: P._marks("r/a.c", t)[P.GEN]
+    assert g(mark + far) > g(b"\n".join(far.split(b"\n")[:40]) + b"\n" + mark + far) > g(far + mark + far) > 2
+    lib = ("package b\n" + "\n".join(f"func G{i}(x int) int {{ return step(x, {i * 7 % 5}) }}" for i in range(12))).encode()
+    rows = [("author/src/l.go", lib, 1), ("author/old/l.go", lib, 5), ("q/third_party/l/l.go", lib, 0), ("s/src/l.go", lib, 3)]
+    d = spark.createDataFrame([(i, bytearray(c), t) for i, c, t in rows], "id string, content binary, t int").withColumn("ingested_at", P.F.timestamp_seconds("t"))
+    got = {r.source_id: r.label for r in P.classify(d).collect()}
+    assert got == {"author/src/l.go": "handwritten", "author/old/l.go": "handwritten", "q/third_party/l/l.go": "vendored", "s/src/l.go": "vendored"}
+
+
 # ---------------------------------------------------------------- p5
 
 GOOD = {

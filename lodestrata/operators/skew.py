@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import Workspace
+
 
 def heavy_keys(keys: DataFrame, key: str, rows: str, total: int, share: float = 1e-3) -> DataFrame:
     """Keys with at least `share` of `total` rows. At most 1/share rows, so the result may be broadcast."""
@@ -66,26 +68,47 @@ def per_key_mode(df: DataFrame, key: str, value: str) -> DataFrame:
     return best.select(F.col("_key").alias(key), F.col("b.value").alias("mode"), (-F.col("b.w")).alias("mode_rows"))
 
 
-def per_key_percentile(df: DataFrame, key: str, value: str, q: float = 0.5) -> DataFrame:
+BLOCKS = 64
+
+
+def per_key_percentile(df: DataFrame, key: str, value: str, q: float = 0.5, salts: int = 32) -> DataFrame:
     """Exact lower percentile per key of a numeric column from weighted values: key, percentile.
 
-    The smallest value whose cumulated weight reaches q of the key's rows. Values are ranged into 64 blocks per key by
-    the key's own minimum and maximum, blocks are summed first, and only the block that holds the answer is sorted, so
-    the cumulated sum never runs over all rows of a hot key in one task; an answer block of many distinct values is
-    narrowed by the same step again, 3 times in all.
+    The smallest value whose cumulated weight reaches q of the key's rows. Per key the distinct values are cut into 64
+    blocks at their own approximate percentiles, the weights of blocks are summed, and the block that holds the answer
+    is cut again, until it has at most 64 distinct values in every key; only those are put in order. Blocks hold about
+    equally many values however these are spread, so the rounds grow with the logarithm of their number to the base
+    64. Keys with many distinct values are salted where values meet their key's block. NULL values count for nothing,
+    the NULL key is a key; an empty table gives no rows.
     """
-    freq = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
-    state = freq.groupBy("_key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n")).withColumn("need", F.greatest(F.ceil(F.col("n") * q), F.lit(1)).cast("long"))
-    blocks = 64
-    for _ in range(3):
-        inside = freq.alias("f").join(state.alias("s"), F.expr("f._key <=> s._key AND f.v >= s.lo AND f.v <= s.hi")).select("s._key", "f.v", "f.w", "s.lo", "s.hi", "s.need")
-        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * blocks), F.lit(blocks - 1))).otherwise(F.lit(0))
-        per = inside.withColumn("b", b).groupBy("_key", "need", "b").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("w"))
-        ordered = F.array_sort(F.collect_list(F.struct("b", "lo", "hi", "w")))  # at most 64 entries per key
-        packed = per.groupBy("_key", "need").agg(ordered.alias("a"))
+    ws = Workspace(df.sparkSession, "percentile")
+    at = F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(key).cast("string")))
+    freq = df.filter(F.col(value).isNotNull()).groupBy(at.alias("_at"), F.col(key).alias("_key"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("w"))
+    freq = ws.write(freq)
+    total = freq.count()
+    per = freq.groupBy("_at").agg(F.first("_key").alias("_key"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("values"))
+    state = ws.write(per.select("_at", "_key", "lo", "hi", F.greatest(F.ceil(F.col("n") * q), F.lit(1)).cast("long").alias("need"), "values"))
+
+    def inside(state: DataFrame) -> DataFrame:
+        heavy = heavy_keys(state, "_at", "values", total)
+        hit = salted_join(freq.select("_at", "v", "w"), state, "_at", heavy, salts, "v")
+        return hit.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+    cuts = F.array(*[F.lit(i / BLOCKS) for i in range(1, BLOCKS)])
+    while (state.agg(F.max("values")).first()[0] or 0) > BLOCKS:
+        wide = state.filter(F.col("values") > BLOCKS)
+        held = inside(wide)
+        at_ = held.groupBy("_at").agg(F.percentile_approx("v", cuts, 10_000).alias("cuts"))
+        rows = salted_join(held, at_, "_at", heavy_keys(wide, "_at", "values", total), salts, "v")
+        block = F.size(F.filter("cuts", lambda x: x < F.col("v")))
+        sums = rows.groupBy("_at", block.alias("b")).agg(F.first("_key").alias("_key"), F.first("need").alias("need"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("values"))
+        packed = sums.groupBy("_at").agg(F.first("_key").alias("_key"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("b", "lo", "hi", "w", "values"))).alias("a"))  # at most 64 entries
         before = F.expr("transform(sequence(1, size(a)), i -> aggregate(slice(a, 1, i - 1), 0L, (s, x) -> s + x.w))")
-        hit = F.expr("filter(zip_with(a, c, (x, y) -> struct(x.lo AS lo, x.hi AS hi, x.w AS w, y AS c)), z -> z.c < need AND z.c + z.w >= need)[0]")
-        state = packed.withColumn("c", before).withColumn("h", hit).select("_key", F.col("h.lo").alias("lo"), F.col("h.hi").alias("hi"), (F.col("need") - F.col("h.c")).alias("need"))
-    last = freq.alias("f").join(state.alias("s"), F.expr("f._key <=> s._key AND f.v >= s.lo AND f.v <= s.hi")).groupBy("s._key", "s.need").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("a"))
+        hit = F.expr("filter(zip_with(a, c, (x, y) -> struct(x.lo AS lo, x.hi AS hi, x.w AS w, x.values AS values, y AS c)), z -> z.c < need AND z.c + z.w >= need)[0]")
+        cut = packed.withColumn("c", before).withColumn("h", hit).select("_at", "_key", F.col("h.lo").alias("lo"), F.col("h.hi").alias("hi"), (F.col("need") - F.col("h.c")).alias("need"), F.col("h.values").alias("values"))
+        nxt = ws.write(cut.unionByName(state.filter(F.col("values") <= BLOCKS)))
+        ws.drop(state)
+        state = nxt
+    last = inside(state).groupBy("_at").agg(F.first("_key").alias("_key"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("v", "w"))).alias("a"))  # at most 64 entries
     pick = F.expr("aggregate(a, struct(CAST(0 AS BIGINT) AS c, CAST(NULL AS DOUBLE) AS r), (s, x) -> struct(s.c + x.w AS c, CASE WHEN s.r IS NULL AND s.c + x.w >= need THEN x.v ELSE s.r END AS r)).r")
     return last.select(F.col("_key").alias(key), pick.alias("percentile"))

@@ -36,10 +36,15 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens that hold at least 2 % of their table's rows."""
-    per = _tokens(spark, d)
-    total = per.groupBy("tok_table").agg(F.sum("rows").alias("total"))  # two rows
-    return per.filter(F.col("token").isNotNull()).join(F.broadcast(total), "tok_table").filter(F.col("rows") * 50 >= F.col("total")).select("tok_table", "token")
+    """Tokens that hold at least 2 % of their table's rows: their weights over files, which repeat most, are added up."""
+    out = None
+    for name, key, value in (("node_refs", "token", "source_id"), ("lsp_defs", "def_token", "def_uri")):
+        t = table(spark, d, name)
+        per = S.per_key_profile(t, key, {"files": value}).filter(F.col(key).isNotNull())
+        total = t.agg(F.count(F.lit(1)).alias("total"))  # one row, from the footers of the files
+        part = per.crossJoin(F.broadcast(total)).filter(F.col("rows") * 50 >= F.col("total")).select(F.lit(name).alias("tok_table"), F.col(key).alias("token"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.skew import heavy_keys, salted_join
 from lodestrata.session import Workspace
 
 
@@ -63,24 +64,33 @@ def _tail_paths(ws: Workspace, links: DataFrame, ancestors: bool) -> DataFrame:
             return cur.drop("moving")
 
 
-def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int = 4, wide_steps: int = 3) -> DataFrame:
+def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int = 4, wide_steps: int = 3, salts: int = 32) -> DataFrame:
     """Every distinct node id with root_id, depth, path (names from the root, joined by '/') and, if asked, ancestors.
 
     Level-wise frontier joins: roots (no parent, or one that is no node) form level 0; each level joins the frontier's
-    ids with the parent ids of nodes not yet reached, `levels_per_step` levels to a job. After `wide_steps` such jobs
-    the few nodes of deeper levels reach the known ones by doubling their links, which takes a number of jobs that
-    grows with the log of the depth, not with the depth; what never gets there hangs on a cycle: depth -1, root_id the
+    ids with the parent ids of nodes not yet reached, `levels_per_step` levels to a job; parents with very many children
+    are salted. After `wide_steps` such jobs the few nodes of deeper levels reach the known ones by doubling their links,
+    which takes a number of jobs that grows with the log of the depth, not with the depth; what never gets there hangs on a cycle: depth -1, root_id the
     smallest id on it, path and ancestors NULL. A NULL name counts as empty. `ancestors` is the array of ids from the
     root down to the parent. A table without rows gives none.
     """
     ws = Workspace(nodes.sparkSession, "hierarchy")
     cur = ws.write(current_nodes(nodes))
-    parents = cur.select(F.col("id").alias("pid"))
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     name = F.coalesce("name", F.lit(""))
-    linked = ws.write(cur.join(parents, F.col("parent_id") == F.col("pid"), "left"))
-    front = linked.filter(F.col("pid").isNull()).select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), name.alias("path"), *([none.alias("ancestors")] if ancestors else []))
-    rest = linked.filter(F.col("pid").isNotNull()).select("id", "parent_id", name.alias("name"))
+    # parents with a fiftieth of all nodes right below them; roots without a parent take no part in any join
+    children = cur.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = ws.write(heavy_keys(children, "parent_id", "n", cur.count(), 0.02), files=1)
+    is_wide = heavy.limit(1).count() > 0
+
+    def below(rows: DataFrame, keyed: DataFrame) -> DataFrame:
+        """rows with what keyed (one row per parent_id) says; wide parents are spread over several tasks."""
+        return salted_join(rows, keyed, "parent_id", heavy, salts, "id") if is_wide else rows.join(keyed, "parent_id")
+
+    named = cur.filter(F.col("parent_id").isNotNull()).select("id", "parent_id", name.alias("name"))
+    rest = ws.write(below(named, cur.select(F.col("id").alias("parent_id"))))
+    top = cur.filter(F.col("parent_id").isNull()).select("id", name.alias("name")).unionByName(named.join(cur.select(F.col("id").alias("pid")), F.col("parent_id") == F.col("pid"), "left_anti").select("id", "name"))
+    front = ws.write(top.select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), *([none.alias("ancestors")] if ancestors else [])))
     ws.drop(cur)
     done, left = [front], rest.count()
     for _ in range(wide_steps):
@@ -88,10 +98,10 @@ def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int =
             break
         level, out = front, None
         for _ in range(levels_per_step):
-            up = level.select(F.col("id").alias("pid"), *[F.col(c).alias(f"p_{c}") for c in level.columns if c != "id"])
-            level = rest.join(up, F.col("parent_id") == F.col("pid")).select(
+            up = level.select(F.col("id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in level.columns if c != "id"])
+            level = below(rest, up).select(
                 "id", F.col("p_root_id").alias("root_id"), (F.col("p_depth") + 1).alias("depth"), F.concat("p_path", F.lit("/"), "name").alias("path"),
-                *([F.concat("p_ancestors", F.array("pid")).alias("ancestors")] if ancestors else []),
+                *([F.concat("p_ancestors", F.array("parent_id")).alias("ancestors")] if ancestors else []),
             )
             out = level if out is None else out.unionByName(level)
         out = ws.write(out)
@@ -118,11 +128,11 @@ def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int =
     top = done[-1].select(F.col("id").alias("top_id"), "root_id", F.col("depth").alias("d"), F.col("path").alias("p"), *([F.col("ancestors").alias("a")] if ancestors else []))
     for d in done[:-1]:
         top = top.unionByName(d.select(F.col("id").alias("top_id"), "root_id", F.col("depth").alias("d"), F.col("path").alias("p"), *([F.col("ancestors").alias("a")] if ancestors else [])))
-    below = tails.join(top, F.col("to") == F.col("top_id")).select(
+    deeper = tails.join(top, F.col("to") == F.col("top_id")).select(
         "id", "root_id", (F.col("d") + F.col("steps")).alias("depth"), F.concat("p", F.lit("/"), "seg").alias("path"),
         *([F.concat("a", F.array("to"), "mid").alias("ancestors")] if ancestors else []),
     )
-    return res.unionByName(below)
+    return res.unionByName(deeper)
 
 
 def descendants(nodes: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ def mix(
     targets: DataFrame,
     total: int | None = None,
     seed: int = 17,
-    block: int | None = None,
-    shard_tokens: int = 2_000_000,
-    max_shards: int = 4096,
+    block: int = 256,
+    shard_tokens: int = 1 << 28,
+    shard_rows: int = 2_000_000,
     vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken",
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (doc_id, source, n_tokens, repeats >= 1) and its report per source.
@@ -63,10 +63,10 @@ def mix(
     of sources without a target neither; of a repeated target row the greatest holds. A source that can't reach its
     share of a given `total` is used max_repeats times in full and the report says so.
 
-    1. Tokens of every document are counted once and written. 2. Each source is cut into shards by a seeded hash (of
-    about shard_tokens tokens, max_shards at most in all, so that no source's rows are one task). 3. Blocks of `block`
-    tokens (by default total/50,000, 64 at least) are apportioned to sources by Sainte-Lague, capped by what max_repeats
-    allows, then each source's blocks to its shards. 4. In a shard, rows in seeded order are cut into blocks by their
+    1. Tokens of every document are counted once and written. 2. Each source is cut into shards by a seeded hash, of about
+    shard_tokens tokens or shard_rows rows, whichever is less, so that no source's rows are one task and the driver holds
+    a row per shard (100,000 of them at 25 trillion tokens). 3. Blocks of `block` tokens, whatever the corpus, are
+    apportioned to sources by Sainte-Lague, capped by what max_repeats allows, then each source's blocks to its shards. 4. In a shard, rows in seeded order are cut into blocks by their
     running tokens; a quota of q blocks over b takes all rows q // b times, and the first q mod b blocks once more.
     """
     spark = documents.sparkSession
@@ -77,13 +77,13 @@ def mix(
     key = F.struct("doc_id", "source").alias("k")
     counted = encode(docs.join(F.broadcast(t.select("source")), "source").select(key, "text"), "k", "text", vocabulary, ids=False)
     counted = ws.write(counted.filter("n_tokens > 0").select("k.doc_id", "k.source", "n_tokens"))
-    have = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).collect()  # a row per source
+    have, held = {r["source"]: r["n"] for r in sums}, {r["source"]: r["rows"] for r in sums}
     usable = {s: share for s, (share, reps) in goal.items() if share > 0 and reps > 0 and have.get(s)}
     norm = sum(usable.values())
     if total is None:
         total = math.floor(min((goal[s][1] * have[s] * norm / share for s, share in usable.items()), default=0))
-    block = block or max(64, total // 50_000)
-    shards = {s: max(1, min(math.ceil(have[s] / shard_tokens), math.floor(max_shards * have[s] / sum(have.values())))) for s in usable}
+    shards = {s: max(math.ceil(have[s] / shard_tokens), math.ceil(held[s] / shard_rows)) for s in usable}
     lists = F.create_map(*[F.lit(x) for s in sorted(shards) for x in (s, shards[s])]) if shards else F.lit(None).cast("map<string,int>")
     rank = F.xxhash64(F.lit(seed), "doc_id", "source")
     rows = counted.withColumn("n_shards", lists[F.col("source")]).filter(F.col("n_shards").isNotNull())
@@ -91,7 +91,7 @@ def mix(
     order = W.partitionBy("source", "shard").orderBy("rank", "doc_id")
     rows = rows.withColumn("block", F.floor((F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens") / 2) / block))
     rows = ws.write(rows.drop("n_shards", "rank"))
-    sizes = {(r[0], r[1]): (r[2], r[3]) for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens"), F.max("block")).collect()}  # max_shards rows
+    sizes = {(r[0], r[1]): (r[2], r[3]) for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens"), F.max("block")).collect()}  # a row per shard
     blocks = {k: max(1, math.ceil(n / block)) for k, (n, _) in sizes.items()}
     room = {s: sum(b for (x, _), b in blocks.items() if x == s) * goal[s][1] for s in usable}
     quota = sainte_lague(usable, total // block, room)
@@ -102,7 +102,7 @@ def mix(
             plan.append((*k, q // blocks[k], q % blocks[k]))
     per_shard = spark.createDataFrame(plan, "source string, shard int, full int, extra int")
     repeats = F.col("full") + (F.col("block") < F.col("extra")).cast("int")
-    chosen = rows.join(F.broadcast(per_shard), ["source", "shard"]).withColumn("repeats", repeats).filter("repeats > 0")
+    chosen = rows.join(F.broadcast(per_shard) if len(plan) <= 200_000 else per_shard, ["source", "shard"]).withColumn("repeats", repeats).filter("repeats > 0")
     chosen = chosen.select("doc_id", "source", "n_tokens", "repeats")
     used = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
     report = t.join(used, "source", "left").na.fill(0, ["tokens", "n_docs", "most_repeats"])

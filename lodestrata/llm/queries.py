@@ -9,6 +9,14 @@ from lodestrata.llm import docpairs, mixing, provenance, syntax, tokens, toxicit
 from lodestrata.session import table
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """The path of a table with the size and time of what lies there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    at, size = fs.getFileStatus(p), fs.getContentSummary(p)
+    return path, at.getModificationTime(), size.getLength(), size.getFileCount()
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Functions and methods with documentation that tells something."""
     return docpairs.documented_functions(table(spark, d, "source_files"), table(spark, d, "ast_nodes")).select("node_id").distinct()
@@ -61,19 +69,32 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+_MODELS: dict[tuple, toxicity.Model] = {}
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Scores by the one model of these tables: it is fitted again only if a file of theirs changes."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "review_labels")
+    key = (spark.sparkContext.applicationId, *[stamp(spark, f"{d}/{n}.parquet") for n in ("documents", "review_labels")])
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = toxicity.fit(docs, labels)
+    return toxicity.score(docs, _MODELS[key])
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with abusive, hateful or sexual content."""
-    return toxicity.score(table(spark, d, "documents"), table(spark, d, "review_labels")).filter("flagged").select("doc_id")
+    return _scored(spark, d).filter("flagged").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """The score of every document."""
-    return toxicity.score(table(spark, d, "documents"), table(spark, d, "review_labels"))
+    return _scored(spark, d)
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates per source."""
-    return toxicity.rates(toxicity.score(table(spark, d, "documents"), table(spark, d, "review_labels")))
+    return toxicity.rates(_scored(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_labels, p5_found, p5_rates, p7_ids, p7_lengths, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -138,21 +139,75 @@ class Ftrl:
         self.n[at] += sq
 
     def dense(self) -> tuple[np.ndarray, float]:
-        w = self.weights(np.arange(MASK + 2))
-        return w[:-1].astype(np.float32), float(w[-1])
-
-
-def _pack(examples: list[tuple[np.ndarray, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    owner = np.repeat(np.arange(len(examples)), [len(e[0]) for e in examples])
-    return np.concatenate([e[0] for e in examples]), owner, np.array([e[1] for e in examples]), np.array([e[2] for e in examples])
-
-
-def _fit(examples, epochs: int, seed: int, batch: int = 64) -> tuple[np.ndarray, float]:
+        at = np.flatnonzero(np.abs(self.z[:-1]) > self.l1)
+        w = np.zeros(MASK + 1, dtype=np.float32)
+        w[at] = self.weights(at)
+        return w, float(self.weights(np.array([MASK + 1]))[0])
+
+
+@dataclass
+class Bags:
+    """Sets of features, one after the other: bag k holds feats[ptr[k]:ptr[k + 1]]; doc is the document it is of."""
+
+    feats: np.ndarray
+    ptr: np.ndarray
+    doc: np.ndarray
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, position in `at`) of the bags at these places."""
+        lens = self.ptr[at + 1] - self.ptr[at]
+        owner = np.repeat(np.arange(len(at)), lens)
+        inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        return self.feats[np.repeat(self.ptr[at], lens) + inner], owner
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        total = np.concatenate([[0.0], np.cumsum(w[self.feats], dtype=np.float64)])
+        return total[self.ptr[1:]] - total[self.ptr[:-1]] + b
+
+
+def _packed(owner: np.ndarray, feats: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, number per owner) with each feature once per owner, in order of owners."""
+    key = owner << np.int64(BITS) | feats
+    key.sort()
+    key = key[np.diff(key, prepend=-1) > 0]
+    return (key & MASK).astype(np.int32), np.bincount(key >> BITS, minlength=n)
+
+
+def bags_of(texts, fx: Features, step: int = 500) -> Bags:
+    """A bag per sentence of the texts that have words; a feature counts once in a bag."""
+    feats, lens, docs = [], [], []
+    for lo in range(0, len(texts), step):
+        words, sent, doc_of = [], [], []
+        for d, t in enumerate(texts[lo : lo + step]):
+            for s in fx.sentences(t):
+                words.extend(s)
+                sent.extend([len(doc_of)] * len(s))
+                doc_of.append(lo + d)
+        if doc_of:
+            f, owner = fx.grams(np.array(words, dtype=np.uint64), np.array(sent, dtype=np.int64))
+            f, n = _packed(owner, f, len(doc_of))
+            feats.append(f)
+            lens.append(n)
+            docs.append(np.array(doc_of, dtype=np.int64))
+    if not docs:
+        return Bags(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    return Bags(np.concatenate(feats), np.concatenate([[0], np.cumsum(np.concatenate(lens))]), np.concatenate(docs))
+
+
+def whole_documents(sents: Bags) -> Bags:
+    """A bag per document: what its sentences hold."""
+    doc, at = np.unique(sents.doc, return_inverse=True)
+    feats, n = _packed(np.repeat(at, np.diff(sents.ptr)), sents.feats.astype(np.int64), len(doc))
+    return Bags(feats, np.concatenate([[0], np.cumsum(n)]), doc)
+
+
+def _fit(bags: Bags, at: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, seed: int, batch: int = 64) -> tuple[np.ndarray, float]:
     model, rng = Ftrl(), np.random.default_rng(seed)
     for _ in range(epochs):
-        order = rng.permutation(len(examples))
+        order = rng.permutation(len(at))
         for i in range(0, len(order), batch):
-            model.step(*_pack([examples[j] for j in order[i : i + batch]]))
+            k = order[i : i + batch]
+            model.step(*bags.gather(at[k]), y[k], weight[k])
     return model.dense()
 
 
@@ -163,51 +218,30 @@ def train(texts: list[str], labels: list[float], rounds: int = 3, epochs: int =
     worst (and any other it is sure of), a negative one all of its sentences. Labels may err: a document labelled against
     a sure model hardly counts.
     """
-    fx = Features()
-    docs = []
-    for t, y in zip(texts, labels):
-        sents = []
-        for s in fx.sentences(t):
-            a = np.array(s, dtype=np.uint64)
-            sents.append(np.unique(fx.grams(a, np.zeros(len(a), dtype=np.int64))[0]))
-        if sents:
-            docs.append((sents, y))
-    if not docs or len({y for _, y in docs}) < 2:
+    sents, y = bags_of(texts, Features()), np.array(labels, dtype=np.float64)
+    whole = whole_documents(sents)
+    if len(np.unique(y[whole.doc] > 0.5)) < 2:
         return np.zeros(MASK + 1, dtype=np.float32), -10.0
-    w, b = _fit([(np.unique(np.concatenate(s)), y, 1.0) for s, y in docs], epochs, seed)
+    w, b = _fit(whole, np.arange(len(whole.doc)), y[whole.doc], np.ones(len(whole.doc)), epochs, seed)
     b = -3.0  # of a bag; a sentence has far fewer features
     doubt = [0.0, -3.5, *[-3.0] * rounds]
+    bad = y[sents.doc] > 0.5
     for r in range(rounds):
-        examples = []
-        for sents, y in docs:
-            scores = [float(w[s].sum()) + b for s in sents]
-            if y > 0.5:
-                k = int(np.argmax(scores))
-                sure = 1.0 if not r or scores[k] > doubt[r] else 0.05
-                examples.append((sents[k], 1.0, sure))
-                examples += [(s, 1.0, 0.5) for i, s in enumerate(sents) if i != k and scores[i] > 2.0 and r]
-            else:
-                examples += [(s, 0.0, 0.1 if r and x > 2.5 else 1.0) for s, x in zip(sents, scores)]
-        w, b = _fit(examples, epochs, seed + r)
+        score = sents.scores(w, b)
+        order = np.lexsort((-score, sents.doc))
+        worst = np.zeros(len(score), dtype=bool)
+        worst[order[np.flatnonzero(np.diff(sents.doc[order], prepend=-1))]] = True
+        weight = np.where(bad, 0.5, np.where((score > 2.5) & (r > 0), 0.1, 1.0))
+        weight[bad & worst] = np.where((r == 0) | (score > doubt[r]), 1.0, 0.05)[bad & worst]
+        used = np.flatnonzero(~bad | worst | ((score > 2.0) & (r > 0)))
+        w, b = _fit(sents, used, bad[used].astype(np.float64), weight[used], epochs, seed + r)
     return w, b
 
 
 def document_scores(texts, w: np.ndarray, b: float, fx: Features) -> np.ndarray:
     """The probability of the worst sentence of each text; 0 for NULL, empty and wordless ones."""
-    words, sent, doc_of = [], [], []
-    for d, t in enumerate(texts):
-        for s in fx.sentences(t):
-            words.extend(s)
-            sent.extend([len(doc_of)] * len(s))
-            doc_of.append(d)
-    out = np.zeros(len(texts))
-    if doc_of:
-        sid = np.array(sent, dtype=np.int64)
-        feats, owner = fx.grams(np.array(words, dtype=np.uint64), sid)
-        # a feature counts once in a sentence, as in training
-        key = np.unique(owner << np.int64(BITS) | feats)
-        total = np.bincount(key >> BITS, w[key & MASK], len(doc_of)) + b
-        np.maximum.at(out, np.array(doc_of), 1 / (1 + np.exp(-np.clip(total, -30, 30))))
+    out, bags = np.zeros(len(texts)), bags_of(texts, fx, step=max(1, len(texts)))
+    np.maximum.at(out, bags.doc, 1 / (1 + np.exp(-np.clip(bags.scores(w, b), -30, 30))))
     return out
 
 
@@ -232,25 +266,63 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int) -> tuple[list[s
     return rows["text"].tolist(), (rows["y"] > 0.5).astype(float).tolist(), rows["doc_id"].tolist()
 
 
-def score(documents: DataFrame, labels: DataFrame, most: int = 20_000, held_out: int = 5) -> DataFrame:
-    """(doc_id, source, score, flagged) of every row of documents.
+@dataclass
+class Model:
+    """Non-zero weights by feature, their bias, and the score from which on a document is flagged."""
 
-    The classifier is fitted on at most `most` labelled documents (the stated bound); a document in `held_out` of them
-    only sets the threshold, before all are used for the weights. Those, 99 % zeros, go to the executors as one broadcast
-    of the non-zero ones (4 million at the very most, by the number of hash buckets). Scoring is one narrow stage over
-    whole texts. NULL, empty and blank texts score 0. Without labels of both kinds every score is 0.
-    """
-    texts, y, ids = labelled(documents, labels, most)
+    at: np.ndarray
+    w: np.ndarray
+    bias: float
+    threshold: float
+
+
+#: folds of labelled documents by a hash of doc_id, fixed before anything was fitted: FOLDS in all, of which one only sets
+#: the threshold and one is only ever used by `held_out_quality`
+FOLDS, THRESHOLD_FOLD, TEST_FOLD = 10, 1, 0
+
+
+def _fold(ids: list[int]) -> np.ndarray:
+    return np.array([zlib.crc32(str(i).encode()) % FOLDS for i in ids], dtype=np.int64)
+
+
+def _fitted(texts, y: np.ndarray, fold: np.ndarray, use: np.ndarray) -> Model:
+    inner, outer = np.flatnonzero(use & (fold != THRESHOLD_FOLD)), np.flatnonzero(use & (fold == THRESHOLD_FOLD))
+    w, b = train([texts[i] for i in inner], y[inner].tolist())
     threshold = 0.5
-    part = np.array([zlib.crc32(str(i).encode()) % held_out == 0 for i in ids], dtype=bool)
-    if part.any() and not part.all():
-        w, b = train([t for t, p in zip(texts, part) if not p], [v for v, p in zip(y, part) if not p])
-        ys = np.array(y)[part]
-        if 0 < ys.sum() < len(ys):
-            threshold = best_threshold(document_scores([t for t, p in zip(texts, part) if p], w, b, Features()), ys)
-    w, b = train(texts, y)
+    if 0 < y[outer].sum() < len(outer):
+        threshold = best_threshold(document_scores([texts[i] for i in outer], w, b, Features()), y[outer])
     at = np.flatnonzero(w).astype(np.int32)
-    shared = documents.sparkSession.sparkContext.broadcast((at, w[at], b))
+    return Model(at, w[at], b, threshold)
+
+
+def fit(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> Model:
+    """The classifier, fitted once on at most `most` labelled documents (the stated bound) in the driver.
+
+    A tenth of them only sets the threshold. Without labels of both kinds every score is 0.
+    """
+    texts, y, ids = labelled(documents, labels, most)
+    return _fitted(texts, np.array(y), _fold(ids), np.ones(len(y), dtype=bool))
+
+
+def held_out_quality(documents: DataFrame, labels: DataFrame, most: int = 20_000) -> dict[str, float]:
+    """Precision and recall against the labels of a tenth of the documents that neither weights nor threshold have seen."""
+    texts, y, ids = labelled(documents, labels, most)
+    y, fold = np.array(y), _fold(ids)
+    m, test = _fitted(texts, y, fold, fold != TEST_FOLD), np.flatnonzero(fold == TEST_FOLD)
+    w = np.zeros(MASK + 1, dtype=np.float32)
+    w[m.at] = m.w
+    hit = document_scores([texts[i] for i in test], w, m.bias, Features()) >= m.threshold
+    right = float((hit & (y[test] > 0.5)).sum())
+    return {"documents": len(test), "precision": right / max(1, hit.sum()), "recall": right / max(1, (y[test] > 0.5).sum())}
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, source, score, flagged) of every row of documents.
+
+    The weights, 99 % zeros, go to the executors as one broadcast of the non-zero ones (4 million at the very most, by the
+    number of hash buckets). Scoring is one narrow stage over whole texts. NULL, empty and blank texts score 0.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((model.at, model.w, model.bias))
     src = documents.select("doc_id", "source", "text")
 
     def run(batches):
@@ -265,7 +337,7 @@ def score(documents: DataFrame, labels: DataFrame, most: int = 20_000, held_out:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s, pa.float64())], names=["doc_id", "source", "score"])
 
     out = src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, source string, score double")
-    return out.withColumn("flagged", F.col("score") >= threshold)
+    return out.withColumn("flagged", F.col("score") >= model.threshold)
 
 
 def rates(scored: DataFrame) -> DataFrame:

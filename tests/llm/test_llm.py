@@ -272,13 +272,13 @@ def test_mixture_shares_caps_and_dirt(spark):
     docs += [(5000, None, "big", 9), (5001, "", "big", 9), (5002, "words", None, 9), (5003, "words", "untargeted", 9), (0, docs[0][1], "big", 9)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, repeats int")
     t = spark.createDataFrame([("big", 0.6, 2, 1), ("small", 0.1, 3, 1), ("other", 0.2, 1, 1), ("absent", 0.1, 5, 1), (None, 0.5, 1, 1)], "source string, target_share double, max_repeats int, tokens int")
-    chosen, report = M.mix(d, t, shard_tokens=2000)
+    chosen, report = M.mix(d, t, shard_tokens=2000, block=64)
     rows = chosen.collect()
     r = {x.source: x for x in report.collect()}
     assert abs(r["big"].actual_share - 0.6 / 0.9) < 0.02 and abs(r["small"].actual_share - 0.1 / 0.9) < 0.02 and abs(r["other"].actual_share - 0.2 / 0.9) < 0.02 and r["absent"].actual_share == 0
     cap = {"big": 2, "small": 3, "other": 1}
     assert all(1 <= x.repeats <= cap[x.source] and x.n_tokens > 0 for x in rows)
-    assert {(x.doc_id, x.repeats) for x in rows} == {(x.doc_id, x.repeats) for x in M.mix(d, t, shard_tokens=2000)[0].collect()}
+    assert {(x.doc_id, x.repeats) for x in rows} == {(x.doc_id, x.repeats) for x in M.mix(d, t, shard_tokens=2000, block=64)[0].collect()}
     assert r["small"].tokens == sum(x.n_tokens * x.repeats for x in rows if x.source == "small")
     assert M.mix(d.limit(0), t)[0].count() == 0 and M.mix(d, t.limit(0))[0].count() == 0
 
@@ -311,14 +311,17 @@ def test_classifier_on_held_out_documents(spark):
     rows = make(random.Random(8), 900)
     d = spark.createDataFrame([(i, t, "s", 0.5, True) for i, t, _, _ in rows] + [(9001, None, "s", 0.5, True), (9002, "", None, 0.5, True), (9003, "cache " * 50_000, "s", 0.5, True)], "doc_id long, text string, source string, score double, flagged boolean")
     lab = spark.createDataFrame([(i, "a", noisy, 1) for i, _, _, noisy in rows if i < 600] + [(None, "a", 1, 1), (3, "b", None, 1), (77777, "a", 1, 1)], "doc_id long, annotator string, toxic int, y int")
-    got = {r.doc_id: r for r in X.score(d, lab).collect()}
+    m = X.fit(d, lab)
+    got = {r.doc_id: r for r in X.score(d, m).collect()}
     truth = {i: y for i, _, y, _ in rows if i >= 600}
     hit = Counter((truth[i], got[i].flagged) for i in truth)
     assert hit[(1, True)] / (hit[(1, True)] + hit[(1, False)]) > 0.95 and hit[(0, True)] <= 3
     assert got[9001].score == 0 and got[9002].score == 0 and not got[9003].flagged and len(got) == len(rows) + 3
-    r = {x.source: x for x in X.rates(X.score(d, lab)).collect()}
+    r = {x.source: x for x in X.rates(X.score(d, m)).collect()}
     assert r[None].n_docs == 1 and r["s"].n_docs == len(rows) + 2
-    assert X.score(d, lab.limit(0)).filter("flagged").count() == 0 and X.score(d.limit(0), lab).count() == 0
+    assert X.score(d, X.fit(d, lab.limit(0))).filter("flagged").count() == 0 and X.score(d.limit(0), m).count() == 0
+    q = X.held_out_quality(d, lab)
+    assert q["documents"] > 30 and q["precision"] > 0.8 and q["recall"] > 0.8
 
 
 def test_grams_stay_within_sentences():

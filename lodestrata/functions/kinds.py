@@ -20,16 +20,32 @@ SEMANTIC_TAG = {
     3: ("struct_item", "type_declaration", "type_alias", "type_alias_declaration", "type_alias_statement", "class_declaration", "class_definition", "interface_declaration", "enum_declaration", "enum_item", "trait_item", "impl_item"),
     4: ("import_declaration", "import_statement", "import_spec", "import_from_statement", "use_declaration"),
 }
-# Canonical kind by (language, raw kind).
+# Kinds that are parameters in every language.
+PARAMETERS = ("parameter", "parameters", "parameter_declaration", "typed_parameter")
+# Canonical kind by language and raw kind.
 CANONICAL = {
-    "go": {"function_declaration": "function", "method_declaration": "method", "type_spec": "type", "type_declaration": "type", "const_spec": "constant", "var_spec": "variable", "field_declaration": "field", "import_spec": "import", "parameter_declaration": "parameter", "package_clause": "module"},
-    "rust": {"function_item": "function", "struct_item": "type", "enum_item": "type", "trait_item": "type", "impl_item": "type", "const_item": "constant", "static_item": "constant", "let_declaration": "variable", "field_declaration": "field", "use_declaration": "import", "parameter": "parameter", "mod_item": "module"},
-    "python": {"function_definition": "function", "class_definition": "type", "import_statement": "import", "import_from_statement": "import", "module": "module"},
-    "javascript": {"function_declaration": "function", "method_definition": "method", "class_declaration": "type", "import_statement": "import", "program": "module"},
-    "typescript": {"function_declaration": "function", "method_definition": "method", "class_declaration": "type", "interface_declaration": "type", "enum_declaration": "type", "import_statement": "import", "program": "module"},
-    "java": {"method_declaration": "method", "class_declaration": "type", "interface_declaration": "type", "enum_declaration": "type", "field_declaration": "field", "import_declaration": "import", "program": "module"},
-    "c": {"function_definition": "function", "struct_specifier": "type", "enum_specifier": "type", "preproc_include": "import", "translation_unit": "module"},
-    "bash": {"function_definition": "function", "program": "module"},
+    "go": {
+        "function": ("function_declaration",), "method": ("method_declaration",), "type": ("type_declaration", "type_spec", "struct_type", "interface_type"), "field": ("field_declaration",),
+        "constant": ("const_declaration", "const_spec"), "variable": ("var_declaration", "var_spec", "short_var_declaration"), "import": ("import_declaration", "import_spec"), "module": ("source_file",),
+    },
+    "rust": {
+        "function": ("function_item", "function_signature_item"), "type": ("struct_item", "enum_item", "trait_item", "type_item", "union_item"), "field": ("field_declaration",),
+        "constant": ("const_item", "static_item"), "variable": ("let_declaration",), "import": ("use_declaration",), "module": ("mod_item", "source_file"),
+    },
+    "python": {"function": ("function_definition",), "type": ("class_definition",), "import": ("import_statement", "import_from_statement"), "module": ("module",)},
+    "javascript": {"function": ("function_declaration", "function_expression", "arrow_function"), "method": ("method_definition",), "type": ("class_declaration", "class"), "import": ("import_statement",), "module": ("program",)},
+    "typescript": {
+        "function": ("function_declaration", "function_expression", "arrow_function", "function_signature"), "method": ("method_definition", "method_signature"),
+        "type": ("class_declaration", "abstract_class_declaration", "class", "interface_declaration", "type_alias_declaration", "enum_declaration"), "import": ("import_statement",), "module": ("program",),
+    },
+    "java": {"method": ("method_declaration",), "type": ("class_declaration", "interface_declaration", "enum_declaration", "record_declaration"), "import": ("import_declaration",), "module": ("program",)},
+    "c": {"function": ("function_definition", "function_declarator"), "type": ("struct_specifier", "union_specifier", "enum_specifier", "type_definition"), "field": ("field_declaration",), "import": ("preproc_include",), "module": ("translation_unit",)},
+    "cpp": {
+        "function": ("function_definition", "function_declarator"), "type": ("struct_specifier", "union_specifier", "enum_specifier", "type_definition", "class_specifier"), "field": ("field_declaration",),
+        "import": ("preproc_include",), "module": ("namespace_definition", "translation_unit"),
+    },
+    "sql": {"type": ("create_table", "create_view", "create_materialized_view"), "function": ("create_function",), "module": ("create_schema", "program")},
+    "bash": {"function": ("function_definition",), "module": ("program",)},
 }
 # Language by file extension.
 LANGUAGE_OF = {"go": "go", "rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "sql": "sql", "sh": "bash", "bash": "bash", "md": "markdown", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "hcl": "hcl"}
@@ -60,8 +76,9 @@ def language_of(path: Column) -> Column:
 
 def canonical_kind(language: Column, kind: Column) -> Column:
     """Canonical kind of a raw kind in a language; NULL where the language has none for it."""
-    flat = {f"{lang}:{raw}": k for lang, t in CANONICAL.items() for raw, k in t.items()}
-    return F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])[F.concat(language, F.lit(":"), kind)]
+    flat = {f"{lang}:{raw}": k for lang, t in CANONICAL.items() for k, raws in t.items() for raw in raws}
+    own = F.create_map(*[F.lit(x) for kv in flat.items() for x in kv])[F.concat(language, F.lit(":"), kind)]
+    return F.when(kind.isin(*PARAMETERS), F.lit("parameter")).otherwise(own)
 
 
 def bucket_arity(n: Column) -> Column:

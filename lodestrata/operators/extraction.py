@@ -110,13 +110,6 @@ def extract(files: DataFrame) -> DataFrame:
     return src.mapInPandas(run, "source_id string, what string, token string, qualifier string, row long")
 
 
-def resolve_imports(refs: DataFrame, imports: DataFrame) -> DataFrame:
-    """References whose qualifier (or token) is an alias in their file, with the path of the first such import by name."""
-    first = imports.groupBy("source_id", F.col("token").alias("alias")).agg(F.min("qualifier").alias("path"))
-    r = refs.select("source_id", "token", F.coalesce("qualifier", "token").alias("alias")).distinct()
-    return r.join(first, ["source_id", "alias"]).select("source_id", "token", "alias", "path")
-
-
 def fold_hashes(nodes: DataFrame) -> DataFrame:
     """(node_id, subtree_hash, n_nodes): Merkle fold of syntax trees whose ids are paths.
 

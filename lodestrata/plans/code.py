@@ -11,6 +11,7 @@ from lodestrata.operators import extraction as X
 from lodestrata.operators import facts as A
 from lodestrata.operators import graphs as G
 from lodestrata.operators import positions as P
+from lodestrata.operators import resolution as N
 from lodestrata.operators import rules as R
 from lodestrata.operators import versions as V
 from lodestrata.session import table
@@ -109,8 +110,22 @@ def ast_kinds(s, d):
     return table(s, d, "ast_nodes").groupBy(K.symbol_class(F.col("node_kind")).alias("kind"), K.semantic_tag(F.col("node_kind")).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT CASE WHEN node_kind IN ('function_item', 'function_definition') THEN 'function' WHEN node_kind = 'function_declaration' THEN 'function' WHEN node_kind IN ('method_declaration', 'method_definition') THEN 'method' WHEN node_kind IN ('class_declaration', 'class_definition', 'impl_item') THEN 'type' WHEN node_kind IN ('module', 'program', 'translation_unit') THEN 'module' END AS canonical, count(*) AS n
-FROM (SELECT DISTINCT node_id, source_id, node_kind FROM ast_nodes) GROUP BY 1""")
+_CANONICAL_SQL = """CASE WHEN node_kind IN ('parameter', 'parameters', 'parameter_declaration', 'typed_parameter') THEN 'parameter'
+ WHEN language = 'go' THEN CASE WHEN node_kind = 'function_declaration' THEN 'function' WHEN node_kind = 'method_declaration' THEN 'method' WHEN node_kind IN ('type_declaration', 'type_spec', 'struct_type', 'interface_type') THEN 'type'
+  WHEN node_kind = 'field_declaration' THEN 'field' WHEN node_kind IN ('const_declaration', 'const_spec') THEN 'constant' WHEN node_kind IN ('var_declaration', 'var_spec', 'short_var_declaration') THEN 'variable' WHEN node_kind IN ('import_declaration', 'import_spec') THEN 'import' WHEN node_kind = 'source_file' THEN 'module' END
+ WHEN language = 'rust' THEN CASE WHEN node_kind IN ('function_item', 'function_signature_item') THEN 'function' WHEN node_kind IN ('struct_item', 'enum_item', 'trait_item', 'type_item', 'union_item') THEN 'type' WHEN node_kind = 'field_declaration' THEN 'field'
+  WHEN node_kind IN ('const_item', 'static_item') THEN 'constant' WHEN node_kind = 'let_declaration' THEN 'variable' WHEN node_kind = 'use_declaration' THEN 'import' WHEN node_kind IN ('mod_item', 'source_file') THEN 'module' END
+ WHEN language = 'python' THEN CASE node_kind WHEN 'function_definition' THEN 'function' WHEN 'class_definition' THEN 'type' WHEN 'import_statement' THEN 'import' WHEN 'import_from_statement' THEN 'import' WHEN 'module' THEN 'module' END
+ WHEN language IN ('javascript', 'typescript') THEN CASE WHEN node_kind IN ('function_declaration', 'function_expression', 'arrow_function') OR language = 'typescript' AND node_kind = 'function_signature' THEN 'function'
+  WHEN node_kind = 'method_definition' OR language = 'typescript' AND node_kind = 'method_signature' THEN 'method' WHEN node_kind IN ('class_declaration', 'class') OR language = 'typescript' AND node_kind IN ('abstract_class_declaration', 'interface_declaration', 'type_alias_declaration', 'enum_declaration') THEN 'type'
+  WHEN node_kind = 'import_statement' THEN 'import' WHEN node_kind = 'program' THEN 'module' END
+ WHEN language = 'java' THEN CASE WHEN node_kind = 'method_declaration' THEN 'method' WHEN node_kind IN ('class_declaration', 'interface_declaration', 'enum_declaration', 'record_declaration') THEN 'type' WHEN node_kind = 'import_declaration' THEN 'import' WHEN node_kind = 'program' THEN 'module' END
+ WHEN language = 'c' THEN CASE WHEN node_kind IN ('function_definition', 'function_declarator') THEN 'function' WHEN node_kind IN ('struct_specifier', 'union_specifier', 'enum_specifier', 'type_definition') THEN 'type' WHEN node_kind = 'field_declaration' THEN 'field' WHEN node_kind = 'preproc_include' THEN 'import' WHEN node_kind = 'translation_unit' THEN 'module' END
+ WHEN language = 'bash' THEN CASE node_kind WHEN 'function_definition' THEN 'function' WHEN 'program' THEN 'module' END END"""
+
+
+@query(f"""SELECT {_CANONICAL_SQL} AS canonical, count(*) AS n
+FROM (SELECT DISTINCT node_id, source_id, node_kind, CASE lower(regexp_extract(source_id, '\\.([^./]+)$', 1)) WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'java' THEN 'java' WHEN 'c' THEN 'c' WHEN 'sh' THEN 'bash' END AS language FROM ast_nodes) GROUP BY 1""")
 def ast_canonical(s, d):
     a = table(s, d, "ast_nodes").select("node_id", "source_id", "node_kind").distinct()
     return a.groupBy(K.canonical_kind(K.language_of(F.col("source_id")), F.col("node_kind")).alias("canonical")).agg(F.count(F.lit(1)).alias("n"))
@@ -308,7 +323,7 @@ def extract_facts(s, d):
 @query()
 def extract_import_edges(s, d):
     f = X.extract(table(s, d, "source_files"))
-    return X.resolve_imports(f.filter("what = 'ref'"), f.filter("what = 'import'"))
+    return N.resolve_imports(f.filter("what = 'ref'"), f.filter("what = 'import'"), f.filter("what = 'def'").withColumn("node_id", F.concat_ws(":", "source_id", "row"))).filter("via_import IS NOT NULL")
 
 
 @query()

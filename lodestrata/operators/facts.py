@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions import kinds as K
 from lodestrata.functions import patterns as P
+from lodestrata.session import Workspace
 
 MAX_BYTES = 8 * 1024 * 1024
 SNIFF_BYTES = 8 * 1024
@@ -211,8 +212,8 @@ def neighborhood(token: str, refs: DataFrame, defs: DataFrame, depth: int = 2, p
     known = defs.select("token").distinct()
     callees = edges.join(known, "token", "left_semi").select(F.col("owner").alias("focal"), F.col("token").alias("symbol"), F.lit(0).alias("side"))
     callers = edges.select(F.col("token").alias("focal"), F.col("owner").alias("symbol"), F.lit(1).alias("side"))
-    links = callees.unionByName(callers).filter("focal != symbol")
     spark = refs.sparkSession
+    links = Workspace(spark, "neighborhood").write(callees.unionByName(callers).filter("focal != symbol"))  # read once per hop
     seen, front, rows = {token}, [token], []
     from pyspark.sql import Window as W
 

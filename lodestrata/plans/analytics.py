@@ -60,14 +60,6 @@ def hv_majority(s, d):
     return H.bundle_majority(_signs(s, d), ["label"], "hv").select("label", F.aggregate("hv", F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w)).alias("n_set"))
 
 
-@query(f"""WITH {_BITS}, p AS (SELECT a.label, {_DIST.format(a='a', b='b')} AS dist FROM signs a JOIN signs b ON a.label = b.label AND b.vec_id = a.vec_id + 1), m AS (SELECT label, quantile_disc(dist, 0.5)::BIGINT AS median, count(*) AS sample_size FROM p GROUP BY 1)
-SELECT m.label, median, sample_size, quantile_disc(abs(dist - median), 0.5)::BIGINT AS mad FROM p JOIN m USING (label) GROUP BY 1, 2, 3""")
-def hv_baseline(s, d):
-    h = _signs(s, d)
-    p = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), "label", F.col("hv").alias("hv2")), ["vec_id", "label"])
-    return H.median_and_mad(p.select("label", H.popcount_xor(F.col("hv"), F.col("hv2")).alias("d")), "d", ["label"])
-
-
 @query()
 def hv_calibrate(s, d):
     """Not SQL: pairs drawn by a generator; its test repeats the draw."""
@@ -82,18 +74,6 @@ def hv_combined(s, d):
     return H.combined(H.bundle(e, ["scope", "layer"], "hv"), "scope", "layer", "hv")
 
 
-@query(f"""WITH RECURSIVE {_BITS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM signs a JOIN signs b ON a.label = b.label AND b.vec_id = a.vec_id + 1 WHERE {_DIST.format(a='a', b='b')} <= 31),
-u AS (SELECT a AS f, b AS t FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT vec_id AS node, vec_id AS seen FROM signs UNION SELECT r.node, u.t FROM r JOIN u ON u.f = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY 1""")
-def hv_clusters(s, d):
-    h = _signs(s, d)
-    p = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), "label", F.col("hv").alias("hv2")), ["vec_id", "label"])
-    return G.consistency(p.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), H.popcount_xor(F.col("hv"), F.col("hv2")).alias("defect")), h.select(F.col("vec_id").alias("node")), 32)
-
-
-# hv_baseline and hv_clusters compare neighbouring ids only (in their SQL too); these compare all pairs of a label.
-
-
 @query(f"""WITH {_BITS}, p AS (SELECT a.label, {_DIST.format(a='a', b='b')} AS dist FROM signs a JOIN signs b ON a.label = b.label AND a.vec_id < b.vec_id), m AS (SELECT label, quantile_disc(dist, 0.5)::BIGINT AS median, count(*) AS sample_size FROM p GROUP BY 1)
 SELECT m.label, median, sample_size, quantile_disc(abs(dist - median), 0.5)::BIGINT AS mad FROM p JOIN m USING (label) GROUP BY 1, 2, 3""")
 def hv_baseline_all(s, d):
@@ -274,30 +254,6 @@ def sheaf_consistency(s, d):
     return G.consistency(df, _stalks(s, d), df.agg(F.median("defect")).first()[0])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT least(user_id, event_id % 97) AS a, greatest(user_id, event_id % 97) AS b FROM events WHERE event_type = 'error'), u AS (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e),
-r AS (SELECT (SELECT min(a) FROM e) AS node, 0 AS depth UNION SELECT u.t, r.depth + 1 FROM r JOIN u ON u.f = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
-def graph_bfs(s, d):
-    e = table(s, d, "events").filter("event_type = 'error'").select(F.least("user_id", F.col("event_id") % 97).alias("a"), F.greatest("user_id", F.col("event_id") % 97).alias("b")).distinct()
-    return G.bfs(e, e.agg(F.min("a").alias("node")), 3)
-
-
-@query("""WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey % 100 + 1) AS a, greatest(l_suppkey, l_partkey % 100 + 1) AS b FROM lineitem WHERE l_suppkey <> l_partkey % 100 + 1 AND l_quantity < 3)
-SELECT x.a AS x, x.b AS y, z.b AS z FROM e x JOIN e y ON y.a = x.b JOIN e z ON z.a = x.a AND z.b = y.b""")
-def graph_triangles(s, d):
-    li = table(s, d, "lineitem").filter("l_quantity < 3")
-    return G.triangles(li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") % 100 + 1).alias("b")))
-
-
-@query("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -1 - (o_orderkey % 1000) AS b FROM orders WHERE o_totalprice > 300000), u AS (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT f AS node FROM u), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, u.t FROM r JOIN u ON u.f = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY 1""")
-def graph_components(s, d):
-    o = table(s, d, "orders").filter("o_totalprice > 300000")
-    return G.components(o.select(F.col("o_custkey").alias("a"), (-1 - F.col("o_orderkey") % 1000).alias("b")))
-
-
-# The three graphs above are parts (filters and folded keys, in their SQL too); these are the same graphs on all rows.
-
-
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT least(user_id, event_id) AS a, greatest(user_id, event_id) AS b FROM events), u AS (SELECT a AS f, b AS t FROM e UNION SELECT b, a FROM e),
 r AS (SELECT (SELECT min(a) FROM e) AS node, 0 AS depth UNION SELECT u.t, r.depth + 1 FROM r JOIN u ON u.f = r.node WHERE r.depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1""")
 def graph_bfs_all(s, d):

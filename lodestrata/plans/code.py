@@ -10,6 +10,7 @@ from lodestrata.operators import chunks as C
 from lodestrata.operators import extraction as X
 from lodestrata.operators import facts as A
 from lodestrata.operators import graphs as G
+from lodestrata.operators import integrity as I
 from lodestrata.operators import positions as P
 from lodestrata.operators import resolution as N
 from lodestrata.operators import rules as R
@@ -46,7 +47,7 @@ _CLASS = """CASE WHEN node_kind IN ('function_declaration', 'function_item', 'fu
 # ---------------------------------------------------------------- scans, projections, predicates
 
 
-@query("SELECT count(*) AS n_files, sum(octet_length(content)) AS n_bytes FROM source_files WHERE content IS NOT NULL AND octet_length(content) <= 8388608")
+@query("SELECT count(*) AS n_files, sum(octet_length(content)) AS n_bytes FROM source_files WHERE content IS NOT NULL AND octet_length(content) <= 8388608 AND NOT regexp_matches(hex(content)[1:16384], '^(..)*?00')")
 def scan_readable(s, d):
     return A.readable(table(s, d, "source_files")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("content")).alias("n_bytes"))
 
@@ -208,14 +209,15 @@ def inspect_symbol(s, d):
 
 @query(f"""WITH RECURSIVE {_DEFS}, t AS (SELECT token FROM defs GROUP BY token ORDER BY count(*) DESC, token LIMIT 1),
 edges AS (SELECT DISTINCT d.token AS owner, r.token FROM (SELECT DISTINCT container_node_id, token FROM node_refs WHERE container_node_id IS NOT NULL) r JOIN (SELECT DISTINCT token, node_id FROM defs) d ON d.node_id = r.container_node_id),
-links AS (SELECT owner AS focal, token AS symbol FROM edges WHERE token IN (SELECT token FROM defs) AND owner <> token UNION SELECT token, owner FROM edges WHERE owner <> token),
-h1 AS (SELECT DISTINCT symbol FROM links WHERE focal = (SELECT token FROM t)),
-h2 AS (SELECT DISTINCT symbol FROM links WHERE focal IN (SELECT symbol FROM h1) AND symbol NOT IN (SELECT symbol FROM h1) AND symbol <> (SELECT token FROM t))
+links AS (SELECT owner AS focal, token AS symbol, 0 AS side FROM edges WHERE token IN (SELECT token FROM defs) AND owner <> token UNION ALL SELECT token, owner, 1 FROM edges WHERE owner <> token),
+ranked AS (SELECT focal, symbol FROM (SELECT focal, symbol, row_number() OVER (PARTITION BY focal ORDER BY side, symbol) AS k FROM links) WHERE k <= 8),
+h1 AS (SELECT symbol FROM ranked WHERE focal = (SELECT token FROM t) GROUP BY symbol ORDER BY symbol LIMIT 25),
+h2 AS (SELECT symbol FROM (SELECT symbol, min(focal) AS f FROM ranked WHERE focal IN (SELECT symbol FROM h1) GROUP BY 1) WHERE symbol NOT IN (SELECT symbol FROM h1) AND symbol <> (SELECT token FROM t) ORDER BY f, symbol LIMIT 25 - (SELECT count(*) FROM h1))
 SELECT symbol, 1 AS hop FROM h1 UNION ALL SELECT symbol, 2 FROM h2""")
 def inspect_neighborhood(s, d):
     defs = _defs(s, d)
     token = defs.groupBy("token").count().orderBy(F.desc("count"), "token").first()[0]
-    return A.neighborhood(token, table(s, d, "node_refs"), defs, 2, 100_000, 1_000_000)
+    return A.neighborhood(token, table(s, d, "node_refs"), defs, 2, 4, 25)
 
 
 # ---------------------------------------------------------------- positions
@@ -275,9 +277,12 @@ def chunk_unreachable(s, d):
     return C.unreachable(table(s, d, "content_chunks"), table(s, d, "content_manifest"))
 
 
-@query("SELECT DISTINCT node_id, seq FROM content_manifest WHERE node_id NOT IN (SELECT id FROM source_files)")
+@query("""SELECT DISTINCT node_id, seq FROM content_manifest WHERE node_id NOT IN (SELECT id FROM (SELECT id, max(ingested_at) AS newest FROM source_files WHERE id IS NOT NULL GROUP BY 1) f
+ LEFT JOIN (SELECT del_key, max(deleted_at) AS gone FROM deletions WHERE del_table = 'source_files' GROUP BY 1) g ON g.del_key = f.id WHERE g.gone IS NULL OR g.gone < f.newest)""")
 def chunk_dead_manifests(s, d):
-    return C.dead_manifests(table(s, d, "content_manifest"), table(s, d, "source_files"))
+    """Entries of files that aren't there any more: never were, or were deleted since they last came in."""
+    living = I.parent_keys(table(s, d, "source_files"), "id", table(s, d, "deletions"), "source_files").select(F.col("pk").alias("id"))
+    return C.dead_manifests(table(s, d, "content_manifest"), living)
 
 
 @query(f"""WITH m AS ({_MAN}) SELECT sum(byte_len) AS logical_bytes, count(*) AS n_refs, (SELECT sum(n) FROM (SELECT max(byte_len) AS n FROM m GROUP BY chunk_hash)) AS stored_bytes, (SELECT count(DISTINCT chunk_hash) + max(CASE WHEN chunk_hash IS NULL THEN 1 ELSE 0 END) FROM m) AS n_chunks,

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lodestrata.functions import kinds as K
 from lodestrata.operators import cells as C
 from lodestrata.operators import facts as A
+from lodestrata.operators import observations as O
 from lodestrata.operators import resolution as R
+from lodestrata.plans.analytics import _TOKS
 from lodestrata.session import table
 
 QUERIES: dict = {}
@@ -162,14 +164,14 @@ def policy_stats(s, d):
     return R.policy_stats(v.select(rows.alias("r")).select("r.*"))
 
 
-@query("""WITH t AS (SELECT max(created_at) AS latest FROM documents), p AS (SELECT DISTINCT least(x.path, y.path) AS a, greatest(x.path, y.path) AS b, x.created_at AS moment FROM documents x JOIN documents y ON x.repo = y.repo AND x.created_at = y.created_at AND x.path < y.path)
-SELECT a, b, sum(exp(-greatest(0, epoch_us(latest) / 1e6 - epoch_us(moment) / 1e6) / 7776000.0)) AS weight FROM p, t GROUP BY 1, 2""")
+@query(f"""WITH {_TOKS}, t AS (SELECT max(created_at) AS latest FROM documents), e AS (SELECT toks.doc_id, d.created_at, unnest(m) AS x FROM toks JOIN documents d ON d.doc_id = toks.doc_id WHERE d.created_at IS NOT NULL)
+SELECT p.x AS a, q.x AS b, sum(exp(-greatest(0, epoch_us(latest) / 1e6 - epoch_us(p.created_at) / 1e6) / 7776000.0)) AS weight FROM e p JOIN e q ON p.doc_id = q.doc_id AND p.x < q.x, t GROUP BY 1, 2""")
 def coedit_decay(s, d):
-    """Decayed weights of paths that documents of one repository touch at one moment."""
-    t = table(s, d, "documents").filter("repo IS NOT NULL AND path IS NOT NULL AND created_at IS NOT NULL").select("repo", "created_at", "path").distinct()
-    y = t.select("repo", "created_at", F.col("path").alias("b"))
-    pairs = t.withColumnRenamed("path", "a").join(y, ["repo", "created_at"]).filter("a < b").select("a", "b", F.col("created_at").alias("at")).distinct()
-    return R.decayed(pairs, "at", table(s, d, "documents").agg(F.max("created_at")).first()[0])
+    """Decayed weights of what one document mentions together, by the time since it was made."""
+    docs = table(s, d, "documents")
+    lists = docs.filter("text IS NOT NULL AND created_at IS NOT NULL").select("created_at", F.array_sort(F.array_distinct(O.mentions(F.col("text")))).alias("t")).filter(F.size("t") > 1)
+    pairs = lists.select("created_at", "t", F.posexplode("t").alias("i", "a")).select("created_at", "a", F.explode(F.expr("slice(t, i + 2, size(t))")).alias("b"))
+    return R.decayed(pairs, "created_at", docs.agg(F.max("created_at")).first()[0])
 
 
 @query(r"""WITH r AS (SELECT DISTINCT node_id, regexp_replace(ref_uri, '^file:///?', '') AS source_id, ref_start_line AS line, ref_start_col AS col, ref_end_line AS end_line, ref_end_col AS end_col FROM lsp_refs WHERE ref_uri IS NOT NULL),

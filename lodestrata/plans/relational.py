@@ -57,7 +57,7 @@ first_value(o_orderkey) OVER w AS fst, ntile(3) OVER w AS nt FROM orders WINDOW
 both("sql_window_frames", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s3, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS near FROM events")
 both("sql_percent_rank", "SELECT c_custkey, round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 9) AS pr, round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 9) AS cd FROM customer")
 both("sql_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
-both("sql_correlated", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT 1.2 * avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = part.p_brand)")
+both("sql_correlated", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT 1.02 * avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = part.p_brand)")
 both("sql_strings", "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 4) AS sub, length(c_name) AS n, replace(c_name, '#', '-') AS r, trim(c_mktsegment) AS t, concat(c_name, '/', c_mktsegment) AS c, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS p, reverse(c_mktsegment) AS rev FROM customer",
      "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, substr(c_name, 1, 4) AS sub, length(c_name) AS n, replace(c_name, '#', '-') AS r, trim(c_mktsegment) AS t, concat(c_name, '/', c_mktsegment) AS c, lpad(CAST(c_custkey AS STRING), 8, '0') AS p, reverse(c_mktsegment) AS rev FROM customer")
 both("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('month', o_orderdate) AS mon, strftime(o_orderdate, '%Y-%m-%d') AS d, datediff('day', TIMESTAMP '1992-01-01', o_orderdate) AS days FROM orders",

@@ -55,35 +55,9 @@ def hv_encode_trees(s, d):
 def hv_tree_neighbours(s, d):
     """The trees nearest to the first file's tree by Hamming distance."""
     h = E.encode_trees(table(s, d, "ast_nodes"))
-    return H.radius_top_k(h, h.orderBy("source_id").first()["hv"], "hv", "source_id", 8192, 20)
+    return H.radius_top_k(h, h.orderBy("source_id").first()["hv"], "hv", "source_id", 3500, 20)
 
 
-_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, o_orderkey % 500 AS b, o_orderpriority AS boundary, '1-URGENT' AS baseline, (o_orderkey % 10) / 10.0 AS rate FROM orders WHERE o_totalprice > 250000)"
-
-
-def _edges(s, d):
-    o = table(s, d, "orders").filter("o_totalprice > 250000")
-    return o.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 500).alias("b"), F.col("o_orderpriority").alias("boundary"), F.lit("1-URGENT").alias("baseline"), (F.col("o_orderkey") % 10 / 10.0).alias("rate")).distinct()
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, u AS (SELECT a AS f, b AS t FROM e WHERE boundary <> baseline UNION SELECT b, a FROM e WHERE boundary <> baseline), r AS (SELECT (SELECT min(a) FROM e) AS region, 0 AS depth UNION SELECT u.t, r.depth + 1 FROM r JOIN u ON u.f = r.region WHERE r.depth < 3)
-SELECT region, min(depth) AS depth FROM r GROUP BY 1""")
-def sheaf_cascade(s, d):
-    e = _edges(s, d)
-    return U.cascade(e, e.agg(F.min("a").alias("region")), 3)
-
-
-@query(f"WITH {_EDGES} SELECT round(sum(CASE WHEN boundary <> baseline THEN 1 - rate END), 6) AS defect, count(*) FILTER (boundary <> baseline) AS n_moved FROM e")
-def sheaf_cache_defect(s, d):
-    return U.cache_defect(_edges(s, d)).withColumn("defect", F.round("defect", 6))
-
-
-@query(f"WITH {_EDGES} SELECT DISTINCT unnest([a, b]) AS region, 0 AS depth FROM e WHERE boundary <> baseline")
-def sheaf_reap(s, d):
-    return U.reap(_edges(s, d))
-
-
-# The three above are parts (a filter and folded keys, in their SQL too); these are the same cascades over all orders.
 _ALL_EDGES = "e AS (SELECT DISTINCT o_custkey AS a, o_orderkey AS b, o_orderpriority AS boundary, '1-URGENT' AS baseline, (o_orderkey % 10) / 10.0 AS rate FROM orders)"
 
 

@@ -50,20 +50,21 @@ def observe(sessions: DataFrame) -> DataFrame:
 def ingest(stream: DataFrame, out: str, marks: str, checkpoint: str) -> StreamingQuery:
     """Appends observations newer than the stored mark; older ones and equals are dropped for good, then the mark moves on.
 
-    The mark is one value, written per batch; it isn't a delay-based watermark.
+    The mark is one value, written per batch; it isn't a delay-based watermark. Rows and mark of a batch lie under its
+    number (column `batch`) and are overwritten if the batch is tried again, against the marks of earlier batches only,
+    so a batch that failed between the two writes neither doubles nor loses rows.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        try:
-            mark = spark.read.parquet(marks).agg(F.max("mark")).first()[0]
-        except Exception:  # no mark yet
-            mark = None
+        p = spark._jvm.org.apache.hadoop.fs.Path(marks)
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        mark = spark.read.schema("mark long, batch long").parquet(marks).filter(F.col("batch") < epoch).agg(F.max("mark")).first()[0] if there else None
         fresh = above_mark(observe(df), "ts_ms", mark).persist()
         top = fresh.agg(F.max("ts_ms")).first()[0]
         if top is not None:
-            fresh.write.mode("append").parquet(out)
-            spark.createDataFrame([(epoch, top)], "epoch long, mark long").write.mode("append").parquet(marks)
+            fresh.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+            spark.createDataFrame([(top,)], "mark long").write.mode("overwrite").parquet(f"{marks}/batch={epoch}")
         fresh.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

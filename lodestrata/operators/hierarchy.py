@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.skew import heavy_keys, salted_join
+from lodestrata.operators.skew import heavy_keys
 from lodestrata.session import Workspace
 
 
@@ -78,18 +78,20 @@ def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int =
     cur = ws.write(current_nodes(nodes))
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     name = F.coalesce("name", F.lit(""))
-    # parents with a fiftieth of all nodes right below them; roots without a parent take no part in any join
+    # parents with a fiftieth of all nodes right below them (50 at most): their children get a salt, they themselves a row
+    # per salt, marked once and for all; roots without a parent take no part in any join
     children = cur.filter(F.col("parent_id").isNotNull()).groupBy("parent_id").agg(F.count(F.lit(1)).alias("n"))
-    heavy = ws.write(heavy_keys(children, "parent_id", "n", cur.count(), 0.02), files=1)
-    is_wide = heavy.limit(1).count() > 0
+    heavy = [r[0] for r in heavy_keys(children, "parent_id", "n", cur.count(), 0.02).collect()]
+    salt = F.when(F.col("parent_id").isin(heavy), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
 
-    def below(rows: DataFrame, keyed: DataFrame) -> DataFrame:
-        """rows with what keyed (one row per parent_id) says; wide parents are spread over several tasks."""
-        return salted_join(rows, keyed, "parent_id", heavy, salts, "id") if is_wide else rows.join(keyed, "parent_id")
+    def parents(level: DataFrame) -> DataFrame:
+        """level under the names parent_id, salt and p_..., once per salt where many children will ask for it."""
+        copies = F.explode(F.when(F.col("id").isin(heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+        return level.select(F.col("id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in level.columns if c != "id"], copies.alias("salt") if heavy else F.lit(0).alias("salt"))
 
-    named = cur.filter(F.col("parent_id").isNotNull()).select("id", "parent_id", name.alias("name"))
-    rest = ws.write(below(named, cur.select(F.col("id").alias("parent_id"))))
-    top = cur.filter(F.col("parent_id").isNull()).select("id", name.alias("name")).unionByName(named.join(cur.select(F.col("id").alias("pid")), F.col("parent_id") == F.col("pid"), "left_anti").select("id", "name"))
+    named = cur.filter(F.col("parent_id").isNotNull()).select("id", "parent_id", name.alias("name"), salt.alias("salt"))
+    rest = ws.write(named.join(parents(cur.select("id")), ["parent_id", "salt"]).select("id", "parent_id", "name", "salt"))
+    top = cur.filter(F.col("parent_id").isNull()).select("id", name.alias("name")).unionByName(named.join(parents(cur.select("id")), ["parent_id", "salt"], "left_anti").select("id", "name"))
     front = ws.write(top.select("id", F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), F.col("name").alias("path"), *([none.alias("ancestors")] if ancestors else [])))
     ws.drop(cur)
     done, left = [front], rest.count()
@@ -98,8 +100,7 @@ def hierarchy(nodes: DataFrame, ancestors: bool = False, levels_per_step: int =
             break
         level, out = front, None
         for _ in range(levels_per_step):
-            up = level.select(F.col("id").alias("parent_id"), *[F.col(c).alias(f"p_{c}") for c in level.columns if c != "id"])
-            level = below(rest, up).select(
+            level = rest.join(parents(level), ["parent_id", "salt"]).select(
                 "id", F.col("p_root_id").alias("root_id"), (F.col("p_depth") + 1).alias("depth"), F.concat("p_path", F.lit("/"), "name").alias("path"),
                 *([F.concat("p_ancestors", F.array("parent_id")).alias("ancestors")] if ancestors else []),
             )

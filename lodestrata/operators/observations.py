@@ -35,6 +35,13 @@ def agreement(payloads: DataFrame, source: str, vector: str, epsilon: float = 1e
     return d.filter(F.abs("delta") > epsilon).select(source, "dim", "delta", (F.col("delta") * F.col("delta")).alias("severity")), d.agg(F.coalesce(F.sum(F.col("delta") * F.col("delta")), F.lit(0.0)).alias("coherence"))
 
 
+def agreement_on(obs: DataFrame, token: str, kind: str, source: str, at: str, vector: str, epsilon: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """`agreement` of the newest payloads per source among the observations (mentions, kind, ...) of a kind that mention a
+    token; rows without payload don't count."""
+    held = obs.filter((F.col("kind") == kind) & F.array_contains("mentions", token) & F.col(vector).isNotNull())
+    return agreement(latest_payloads(held, [source], at, vector).select(source, vector), source, vector, epsilon)
+
+
 def activity(obs: DataFrame, key: str, tokens: str) -> DataFrame:
     """Share of observations that mention a token: token, n, rate."""
     total = obs.agg(F.count(F.lit(1)).alias("total"))

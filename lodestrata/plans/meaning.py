@@ -9,8 +9,10 @@ from lodestrata.functions import kinds as K
 from lodestrata.operators import cells as C
 from lodestrata.operators import facts as A
 from lodestrata.operators import observations as O
+from lodestrata.operators import projection as P
 from lodestrata.operators import resolution as R
 from lodestrata.plans.analytics import _TOKS
+from lodestrata.plans.code import _DEFS
 from lodestrata.session import table
 
 QUERIES: dict = {}
@@ -243,3 +245,50 @@ def kinds_arity(s, d):
     """Nodes by the bucket of their number of children."""
     per = table(s, d, "nodes").filter("parent_id != ''").groupBy("parent_id").agg(F.countDistinct("id").alias("n"))
     return per.groupBy(K.bucket_arity(F.col("n")).alias("bucket")).agg(F.count(F.lit(1)).alias("n_parents"))
+
+
+# ---------------------------------------------------------------- syntax rows, bundles, projections
+
+
+@query("""WITH n AS (SELECT DISTINCT source_id, start_byte, end_byte, start_row, start_col, end_row, end_col FROM ast_nodes WHERE node_kind = 'function_definition' AND lower(source_id) LIKE '%.py' AND source_id IN (SELECT id FROM source_files WHERE content IS NOT NULL))
+SELECT * FROM n""")
+def ast_project(s, d):
+    """Functions of Python files as parsed here, where the syntax table has nodes of the file."""
+    files = table(s, d, "source_files")
+    known = table(s, d, "ast_nodes").filter("node_kind = 'function_definition' AND source_id IS NOT NULL").select("source_id").distinct()
+    return P.project_python(files).filter("node_kind = 'function_definition' AND lower(source_id) LIKE '%.py'").join(known, "source_id", "left_semi").select("source_id", "start_byte", "end_byte", "start_row", "start_col", "end_row", "end_col").distinct()
+
+
+@query(rf"""WITH {_DEFS}, t AS (SELECT token FROM defs GROUP BY token ORDER BY count(*) DESC, token LIMIT 1), own AS (SELECT DISTINCT token, node_id, source_id FROM defs WHERE token = (SELECT token FROM t)),
+sp AS (SELECT node_id, source_id, any_value(node_kind) AS node_kind FROM ast_nodes GROUP BY 1, 2), used AS (SELECT DISTINCT token FROM node_refs WHERE container_node_id IN (SELECT node_id FROM own))
+SELECT DISTINCT 'definitions' AS section, own.node_id, own.source_id, CASE WHEN node_kind IN ('function_declaration', 'function_item', 'function_definition') THEN 'function' WHEN node_kind = 'method_declaration' THEN 'method' ELSE 'unknown' END AS text FROM own LEFT JOIN sp USING (node_id, source_id)
+UNION SELECT 'callers', container_node_id, source_id, NULL FROM node_refs WHERE token = (SELECT token FROM t) AND container_node_id IS NOT NULL
+UNION SELECT 'callees', node_id, source_id, token FROM defs WHERE token IN (SELECT token FROM used)
+UNION SELECT 'hover', node_id, NULL, detail FROM lsp_symbols WHERE trim(detail) <> '' AND node_id IN (SELECT node_id FROM own)
+UNION SELECT 'freshness', node_id, NULL, strftime(max(ingested_at), '%Y-%m-%d %H:%M:%S') FROM ast_nodes WHERE node_id IN (SELECT node_id FROM own) GROUP BY node_id""")
+def inspect_sections(s, d):
+    """The bundle of the symbol with the most definitions."""
+    defs = A.node_defs(table(s, d, "lsp_symbols"), table(s, d, "ast_nodes"))
+    token = defs.groupBy("token").count().orderBy(F.desc("count"), "token").first()[0]
+    return P.symbol_sections(token, defs, table(s, d, "node_refs"), table(s, d, "ast_nodes"), table(s, d, "lsp_symbols"))
+
+
+@query(f"""WITH {_TOKS}, t AS (SELECT x AS token FROM (SELECT unnest(m) AS x FROM toks) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+o AS (SELECT d.source, d.doc_id, [d.n_chars::DOUBLE, length(d.text)::DOUBLE / 2] AS v FROM documents d JOIN toks ON toks.doc_id = d.doc_id WHERE list_contains(m, (SELECT token FROM t)) AND d.lang = 'en' AND d.source IS NOT NULL AND d.n_chars IS NOT NULL),
+l AS (SELECT source, arg_max(v, doc_id) AS v FROM o GROUP BY 1), f AS (SELECT source AS fs, v AS fv FROM l ORDER BY source LIMIT 1),
+x AS (SELECT source, unnest([0, 1]) AS dim, v, fv FROM l, f WHERE source <> fs)
+SELECT source, dim, v[dim + 1] - fv[dim + 1] AS delta, (v[dim + 1] - fv[dim + 1]) ** 2 AS severity FROM x WHERE abs(v[dim + 1] - fv[dim + 1]) > 1e-4""")
+def obs_agreement_on(s, d):
+    """Where sources differ in what they last said of the most mentioned token, in one language."""
+    docs = table(s, d, "documents").filter("text IS NOT NULL").withColumn("m", O.mentions(F.col("text")))
+    token = docs.select(F.explode("m").alias("x")).groupBy("x").count().orderBy(F.desc("count"), "x").first()
+    obs = docs.filter("source IS NOT NULL AND n_chars IS NOT NULL").select("source", "doc_id", F.col("m").alias("mentions"), F.col("lang").alias("kind"), F.array(F.col("n_chars").cast("double"), F.length("text") / 2.0).alias("v"))
+    return O.agreement_on(obs, token[0] if token else "", "en", "source", "doc_id", "v")[0]
+
+
+@query()
+def hv_simhash(s, d):
+    """Not SQL: 512 normal planes from a seed; the test holds it against a plain product."""
+    e = table(s, d, "embeddings")
+    width = len(e.select("embedding").first()[0])
+    return P.simhash(e.select("vec_id", "embedding"), "embedding", P.hyperplanes("semantic", width, 512)).select("vec_id", "hv")

@@ -65,6 +65,12 @@ both("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate)
 both("sql_math", "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, floor(c_acctbal)::BIGINT AS f, ceil(c_acctbal)::BIGINT AS c, round(sqrt(abs(c_acctbal)), 6) AS s, sign(c_acctbal)::INT AS g, greatest(c_acctbal, 0) AS mx, least(c_acctbal, 0) AS mn, c_custkey % 7 AS md, round(ln(1 + abs(c_acctbal)), 6) AS l FROM customer",
      "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, CAST(sign(c_acctbal) AS INT) AS g, greatest(c_acctbal, 0D) AS mx, least(c_acctbal, 0D) AS mn, c_custkey % 7 AS md, round(ln(1 + abs(c_acctbal)), 6) AS l FROM customer")
 both("sql_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events")
+both("sql_json_each", "SELECT event_id, je.key AS k, je.value::VARCHAR AS v FROM events, json_each(props) je", "SELECT event_id, k, v FROM events LATERAL VIEW explode(from_json(props, 'map<string,string>')) t AS k, v")
+both("sql_json_tree", "SELECT event_type, je.key AS k, count(*) AS n, count(DISTINCT je.value::VARCHAR) AS n_values FROM events, json_tree(props) je WHERE je.key IS NOT NULL GROUP BY 1, 2", "SELECT event_type, k, count(*) AS n, count(DISTINCT v) AS n_values FROM events LATERAL VIEW explode(from_json(props, 'map<string,string>')) t AS k, v GROUP BY 1, 2")
+both("sql_map", "SELECT n_regionkey, cardinality(m) AS n, list_sort(map_keys(m)) AS ks, m['FRANCE'] AS france FROM (SELECT n_regionkey, map(list(n_name), list(n_nationkey)) AS m FROM nation GROUP BY 1)",
+     "SELECT n_regionkey, size(m) AS n, sort_array(map_keys(m)) AS ks, try_element_at(m, 'FRANCE') AS france FROM (SELECT n_regionkey, map_from_entries(collect_list(struct(n_name, n_nationkey))) AS m FROM nation GROUP BY 1)")
+both("sql_nulls_order", "SELECT doc_id, lang FROM documents ORDER BY lang NULLS FIRST, doc_id DESC LIMIT 40")
+both("sql_nulls_last", "SELECT doc_id, source FROM documents ORDER BY source DESC NULLS LAST, doc_id LIMIT 40 OFFSET 3")
 both("sql_nulls", "SELECT doc_id, coalesce(lang, '?') AS l, nullif(source, 'readme') AS s, CASE WHEN n_chars IS NULL THEN 'none' WHEN n_chars > 1000 THEN 'long' ELSE 'short' END AS size, TRY_CAST(path AS INTEGER) AS p FROM documents", "SELECT doc_id, coalesce(lang, '?') AS l, nullif(source, 'readme') AS s, CASE WHEN n_chars IS NULL THEN 'none' WHEN n_chars > 1000 THEN 'long' ELSE 'short' END AS size, TRY_CAST(path AS INT) AS p FROM documents")
 both("sql_group_concat", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY 1")
 both("sql_sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 5")

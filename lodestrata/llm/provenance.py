@@ -48,8 +48,10 @@ _VEND_DIR = re.compile(r"^(?:vendor|vendored|third[-_]?party|3rdparty|node_modul
 _MODULE = re.compile(r"^/\* ?(?:module \d+:|\d+ ?\*/)|^//\# ?sourceMappingURL=|__webpack_require__|^\s*!function\(", re.M)
 _DATA_LINE = re.compile(r"[\s\[{(]*+(?:\d+\s*:\s*)?[\[({]*+(?:(?:[bru]?\"[^\"\s]{16,}+\"|[bru]?'[^'\s]{16,}+'|-?(?:0x[0-9a-fA-F]++|[\d.]++(?:e-?\d+)?)\w{0,3})[\s\])}+]*+[,;]?\s*+[\[({]*+)++[\])}\s;,+]*+$")
 _MASK = re.compile(r"\d+")
-#: what any announcement holds somewhere; texts without it needn't be read line by line
-_ANNOUNCES = re.compile(r"generat|produced|compiled|emitted|written|created|erzeugt|generier|erstellt|g[ée]n[ée]r|generado|gerado|автоматич|自动|自動|vendored|third[- ]party|upstream|copied|imported|taken|pulled|lifted|v?\d+\.\d+", re.I)
+# What any announcement holds somewhere, in lower case; texts without it needn't be read line by line.
+_ANNOUNCES = ("generat", "produced", "compiled", "emitted", "written", "created", "erzeugt", "generier", "erstellt", "génér", "gener", "generado", "gerado", "автоматич", "自动", "自動", "vendored", "third-party", "third party", "upstream", "copied", "imported", "taken", "pulled", "lifted", "copyright", "licen", "apache", "bsd", "mit", "(c)", "@")
+# What any mark of a bundle holds.
+_BUNDLES = ("/*", "sourceMappingURL=", "__webpack_require__", "!function(")
 
 
 #: log likelihood of a content that shows no mark of a label
@@ -85,7 +87,8 @@ def _marks(path: str, content: bytes | None) -> list[float]:
     if not full:
         return e
     # announcements: in any comment line, the further behind the less they say about the whole file
-    if _ANNOUNCES.search(text):
+    low = text.lower()
+    if any(x in low for x in _ANNOUNCES):
         seen = 0
         for x in lines:
             s = x.strip()
@@ -119,7 +122,7 @@ def _marks(path: str, content: bytes | None) -> list[float]:
         words = sum(len(x) > 180 and x.count(",") + x.count(";") + x.count("{") > len(x) / 60 for x in code)
         if packed > 0.5 and spaces < 0.09 and words:
             e[MIN] += 7.5
-    if _MODULE.search(text):
+    if any(x in text for x in _BUNDLES) and _MODULE.search(text):
         e[MIN] += 2.5
     digits = sum(map(text.count, "0123456789"))
     sparse = digits > 0.12 * n or spaces < 0.12 or text.count('"') + text.count("'") > len(full)

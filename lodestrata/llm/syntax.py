@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,14 @@ def verdicts(files: DataFrame) -> DataFrame:
     src = files.filter(F.col("id").isNotNull() & F.col("content").isNotNull()).select(F.col("id").alias("source_id"), language.alias("language"), "content")
 
     def run(batches):
+        held = gc.get_threshold()
+        gc.set_threshold(100_000, 50, 50)  # stacks are many small objects that counting frees; cycles among them are rare
+        try:
+            yield from parsed(batches)
+        finally:
+            gc.set_threshold(*held)
+
+    def parsed(batches):
         for b in batches:
             valid, reason = [], []
             for lang, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):

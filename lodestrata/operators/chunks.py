@@ -6,6 +6,7 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,13 +141,16 @@ def merkle_roots(leaves: DataFrame, group: str, pos: str, digest: str, fan: int
     Nodes are SHA-256 over 0x01, left, right.
     """
 
-    @F.udf("binary")
-    def fold(xs):
-        level = [bytes(x) for x in xs]
-        while len(level) > 1:
-            nxt = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
-            level = nxt + level[len(nxt) * 2 :]
-        return level[0]
+    @F.pandas_udf("binary")
+    def fold(xs: pd.Series) -> pd.Series:
+        def one(level):
+            level = [bytes(x) for x in level]
+            while len(level) > 1:
+                nxt = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
+                level = nxt + level[len(nxt) * 2 :]
+            return level[0]
+
+        return xs.map(one)
 
     cur = leaves.select(group, F.col(pos).cast("long").alias("_p"), F.col(digest).alias("_d"))
     sizes = cur.groupBy(group).agg(F.count(F.lit(1)).alias("n_leaves"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.session import Workspace
+
 HV_BYTES = 1024
 HV_BITS = 8 * HV_BYTES
 BLOCK_ROWS = 2048
@@ -216,7 +218,16 @@ def calibrate(df: DataFrame, words: str, key: str, sample: int = 1000, seed: int
     p = spark.createDataFrame(pairs, "pair long, i long, j long")
     wanted = spark.createDataFrame([(x,) for x in sorted({x for _, i, j in pairs for x in (i, j)})], "i long")
     # a global number per row needs the position within sorted partitions, which no column expression gives
-    numbered = df.select(key, words).sort(key).rdd.zipWithIndex().map(lambda r: (int(r[1]), list(r[0][1]))).toDF("i long, w array<bigint>").join(F.broadcast(wanted), "i", "left_semi")
+    # a row's number is its place in its range of keys plus the rows of the ranges before, so nothing is ordered in one task
+    ws = Workspace(spark, "calibrate")
+    ranged = ws.write(df.select(F.col(key).alias("_k"), F.col(words).alias("w")).repartitionByRange("_k").withColumn("part", F.spark_partition_id()))
+    before, total = [], 0
+    for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per partition
+        before.append((r["part"], total))
+        total += r["n"]
+    place = F.row_number().over(W.partitionBy("part").orderBy("_k")) - 1
+    at = ranged.withColumn("place", place).join(F.broadcast(spark.createDataFrame(before, "part int, before long")), "part")
+    numbered = at.select((F.col("before") + F.col("place")).alias("i"), "w").join(F.broadcast(wanted), "i", "left_semi")
     d = p.join(numbered, "i").select("pair", "j", F.col("w").alias("a")).join(numbered.select(F.col("i").alias("j"), F.col("w").alias("b")), "j")
     return median_and_mad(d.select(popcount_xor(F.col("a"), F.col("b")).alias("d")), "d", [])
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
+import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.kinds import language_of
@@ -16,34 +16,63 @@ from lodestrata.functions.kinds import language_of
 SKIPPED = ("node_modules", "vendor", "target", "__pycache__", "__pypackages__", "venv")
 
 
-def _ignored(root: str):
-    """A test of relative paths against the root's .gitignore (patterns, `/` anchors, `!` exceptions, later lines win)."""
-    rules = []
-    path = os.path.join(root, ".gitignore")
-    if os.path.exists(path):
-        with open(path, encoding="utf-8", errors="replace") as f:
-            for line in f:
-                p = line.rstrip("\n").strip()
-                if p and not p.startswith("#"):
-                    rules.append((p.startswith("!"), p.lstrip("!").rstrip("/"), p.rstrip().endswith("/")))
+def ignore_pattern(line: str, folder: str) -> tuple[bool, str] | None:
+    """(keeps, regular expression over relative paths) of a line of the ignore file in `folder` ('' is the root).
 
-    def test(rel: str) -> bool:
-        hit = False
-        parts = rel.split("/")
-        for keep, p, only_dir in rules:
-            ways = ["/".join(parts[:i]) for i in range(1, len(parts) + (0 if only_dir else 1))]
-            anchored = "/" in p
-            if any(fnmatch.fnmatchcase(w if anchored else w.rsplit("/", 1)[-1], p.lstrip("/")) for w in ways):
-                hit = not keep
-        return hit
-
-    return test
+    `!` keeps, a slash within anchors the pattern to the folder, one at the end asks for a directory; `*` and `?` stay
+    within a name, `**` crosses names. Blank lines and comments are None.
+    """
+    p = line.rstrip("\n").rstrip()
+    if not p or p.startswith("#"):
+        return None
+    keeps, p = p.startswith("!"), p.removeprefix("!")
+    only_dir, p = p.endswith("/"), p.rstrip("/")
+    anchored, p = "/" in p, p.removeprefix("/")
+    out, i = "", 0
+    while i < len(p):
+        if p.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif p.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif p[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif p[i] == "?":
+            out, i = out + "[^/]", i + 1
+        elif p[i] == "[" and "]" in p[i + 2 :]:
+            j = p.index("]", i + 2)
+            inner = p[i + 1 : j].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner) + "]", j + 1
+        else:
+            out, i = out + re.escape(p[i]), i + 1
+    start = re.escape(folder + "/" if folder else "") + ("" if anchored else "(?:.*/)?")
+    return keeps, f"^{start}{out}{'/.+' if only_dir else '(?:/.+)?'}$"
+
+
+def ignored(rel: Column, rules: list[tuple[bool, str]]) -> Column:
+    """Whether the rules, in order from the root downwards, leave a path out: the last one that fits decides."""
+    out = F.lit(False)
+    for keeps, pattern in rules:
+        out = F.when(rel.rlike(pattern), F.lit(not keeps)).otherwise(out)
+    return out
+
+
+def _rules(root: str) -> list[tuple[bool, str]]:
+    """The rules of all ignore files of a local tree, outer folders first."""
+    out = []
+    for folder, dirs, names in os.walk(root):
+        dirs.sort()
+        if ".gitignore" in names:
+            rel = os.path.relpath(folder, root).replace(os.sep, "/")
+            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+                out += [r for r in (ignore_pattern(line, "" if rel == "." else rel) for line in f) if r]
+    return out
 
 
 def walk(spark: SparkSession, root: str, language: str | None = None) -> DataFrame:
     """Files of a source tree: id (relative path), path, language, size, mtime_ns, content; hidden and skipped ones left out.
 
-    `binaryFile` lists and reads in parallel; the ignore file is read once on the driver and applied as a filter.
+    `binaryFile` lists and reads in parallel; the ignore files of all folders are read on the driver and applied as an
+    expression over the paths.
     """
     base = "file:" + os.path.abspath(root) + "/" if "://" not in root else root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -53,13 +82,7 @@ def walk(spark: SparkSession, root: str, language: str | None = None) -> DataFra
     df = df.filter(~hidden)
     if language:
         df = df.filter(F.col("language") == language)
-    test = _ignored(root) if "://" not in root else (lambda rel: False)
-
-    @F.pandas_udf("boolean")
-    def ignored(rel: pd.Series) -> pd.Series:
-        return rel.map(test)
-
-    return df.filter(~ignored("id"))
+    return df.filter(~ignored(F.col("id"), _rules(root) if "://" not in root else []))
 
 
 def changed_files(current: DataFrame, index: DataFrame) -> DataFrame:

@@ -161,3 +161,22 @@ def test_shared_folder_is_named_on_clusters():
         shared_dir(session("local-cluster[2,1,1024]"))
     assert shared_dir(session("yarn", "hdfs:/x/")) == "hdfs:/x" and shared_dir(session("yarn", None, "hdfs:/y")) == "hdfs:/y"
     assert shared_dir(session("local[4]")).startswith("file:")
+
+
+def test_ignore_rules():
+    import re as r
+
+    from lodestrata.sources.files import ignore_pattern as rule
+
+    def out(path, *lines, folder=""):
+        hit = False
+        for keeps, pattern in filter(None, (rule(x, folder) for x in lines)):
+            if r.search(pattern, path):
+                hit = not keeps
+        return hit
+
+    assert out("a/x.log", "*.log") and not out("a/x.log", "*.log", "!x.log") and not out("x.logs", "*.log")
+    assert out("build/a/b", "build/") and not out("build", "build/") and out("x/build/a", "build/")
+    assert out("a/b/c", "/a/*/c") and not out("a/b/b/c", "/a/*/c") and out("a/b/b/c", "a/**/c") and out("a/c", "a/**/c") and not out("z/a/c", "/a/c")
+    assert out("sub/t.tmp", "*.tmp", folder="sub") and not out("t.tmp", "*.tmp", folder="sub") and not out("subs/t.tmp", "/t.tmp", folder="sub")
+    assert out("a1", "a[0-9]") and not out("ax", "a[0-9]") and out("ax", "a[!0-9]") and rule("# x", "") is None and rule("  ", "") is None

@@ -4,36 +4,91 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file by a rename, so a reader sees the old text or the new one."""
+    fs, now = _fs(spark, path)
+    _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(now, False)
+    fs.rename(tmp, now)
+
+
+def _get(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if fs.exists(p) else None
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """(version, digest) that CURRENT points at; None before the first snapshot."""
+    text = _get(spark, f"{root}/CURRENT")
+    return None if text is None else (int(text.split()[0]), text.split()[1])
+
+
 def snapshot(tables: dict[str, DataFrame], root: str, version: int) -> str:
-    """Writes tables under root/v=<version>, then points root/CURRENT at it by a rename; returns the manifest's hash."""
+    """Writes tables under root/v=<version>, then points root/CURRENT at it by a rename; returns the head's digest.
+
+    The head (version, tables with rows and schema, parent's digest) lies beside the tables, so heads form a chain: a
+    digest stands for a state and for all states before it.
+    """
     spark = next(iter(tables.values())).sparkSession
     manifest = {}
     for name, df in sorted(tables.items()):
         path = f"{root}/v={version}/{name}"
         df.write.mode("overwrite").parquet(path)
         manifest[name] = {"rows": spark.read.parquet(path).count(), "schema": df.schema.jsonValue()}
-    text = json.dumps({"version": version, "tables": manifest}, sort_keys=True)
+    return _head(spark, root, version, {"version": version, "tables": manifest})
+
+
+def _head(spark: SparkSession, root: str, version: int, what: dict) -> str:
+    before = current(spark, root)
+    text = json.dumps(what | {"parent": None if before is None else list(before)}, sort_keys=True)
     digest = hashlib.sha256(text.encode()).hexdigest()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    tmp, now = jvm.org.apache.hadoop.fs.Path(f"{root}/.CURRENT-{version}"), jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = now.getFileSystem(conf)
-    out = fs.create(tmp, True)
-    out.write(bytearray(f"{version} {digest}".encode()))
-    out.close()
-    fs.delete(now, False)
-    fs.rename(tmp, now)
+    _put(spark, f"{root}/heads/{version}.json", text)
+    _put(spark, f"{root}/CURRENT", f"{version} {digest}")
     return digest
 
 
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """(position, version, digest, reverts_to, intact) from the newest head down the chain; a head whose text hasn't the
+    digest it is known by isn't intact, and what lies before it can't be trusted either."""
+    at, rows, good = current(spark, root), [], True
+    while at is not None:
+        text = _get(spark, f"{root}/heads/{at[0]}.json")
+        good = good and text is not None and hashlib.sha256(text.encode()).hexdigest() == at[1]
+        head = json.loads(text) if text is not None else {}
+        rows.append((len(rows), at[0], at[1], head.get("reverts_to"), good))
+        at = tuple(head["parent"]) if head.get("parent") else None
+    return spark.createDataFrame(rows, "position int, version int, digest string, reverts_to int, intact boolean")
+
+
+def revert(spark: SparkSession, root: str, to: int, version: int) -> str:
+    """A new version that reads as version `to` does: a head without tables of its own; nothing is rewritten or lost."""
+    text = _get(spark, f"{root}/heads/{to}.json")
+    if text is None:
+        raise ValueError(f"no version {to}")
+    head = json.loads(text)
+    return _head(spark, root, version, {"version": version, "tables": head["tables"], "reverts_to": head.get("reverts_to", to)})
+
+
 def load_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table as of a version, the current one by default; a reverting version reads the one that it reverts to."""
     if version is None:
-        version = int(spark.read.text(f"{root}/CURRENT").first()[0].split()[0])
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+        version = current(spark, root)[0]
+    head = json.loads(_get(spark, f"{root}/heads/{version}.json"))
+    return spark.read.parquet(f"{root}/v={head.get('reverts_to', version)}/{name}")
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -180,3 +180,24 @@ def test_ignore_rules():
     assert out("a/b/c", "/a/*/c") and not out("a/b/b/c", "/a/*/c") and out("a/b/b/c", "a/**/c") and out("a/c", "a/**/c") and not out("z/a/c", "/a/c")
     assert out("sub/t.tmp", "*.tmp", folder="sub") and not out("t.tmp", "*.tmp", folder="sub") and not out("subs/t.tmp", "/t.tmp", folder="sub")
     assert out("a1", "a[0-9]") and not out("ax", "a[0-9]") and out("ax", "a[!0-9]") and rule("# x", "") is None and rule("  ", "") is None
+
+
+def test_heads_form_a_chain(spark, tmp_path):
+    from lodestrata.operators import versions as V
+
+    root = str(tmp_path / "store")
+    assert V.current(spark, root) is None and V.history(spark, root).count() == 0
+    digests = [V.snapshot({"t": spark.range(n)}, root, v) for v, n in ((1, 3), (2, 5))]
+    assert V.load_snapshot(spark, root, "t").count() == 5 and V.load_snapshot(spark, root, "t", 1).count() == 3
+    V.revert(spark, root, 1, 3)
+    V.revert(spark, root, 3, 4)
+    assert V.load_snapshot(spark, root, "t").count() == 3 and V.load_snapshot(spark, root, "t", 2).count() == 5
+    rows = V.history(spark, root).orderBy("position").collect()
+    assert [(r.version, r.reverts_to, r.intact) for r in rows] == [(4, 1, True), (3, 1, True), (2, None, True), (1, None, True)] and rows[3].digest == digests[0]
+    head = tmp_path / "store" / "heads" / "2.json"
+    head.write_text(head.read_text().replace('"rows": 5', '"rows": 6'))
+    for crc in (tmp_path / "store" / "heads").glob(".*.crc"):
+        crc.unlink()
+    assert [r.intact for r in V.history(spark, root).orderBy("position").collect()] == [True, True, False, False]
+    with pytest.raises(ValueError):
+        V.revert(spark, root, 9, 10)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +36,21 @@ RULES = (
 
 
 def findings(spark: SparkSession, views: dict[str, DataFrame], rules=RULES) -> DataFrame:
-    """(rule_id, source_id, node_id, start_row, message) of all rules whose views exist; others are skipped."""
+    """(rule_id, source_id, node_id, start_row, message) of all rules whose views exist; others are skipped.
+
+    Views have names of their own while statements are read, so those of the session are neither hidden nor replaced.
+    """
+    own = {name: f"{name}_{uuid.uuid4().hex}" for name in views}
     for name, df in views.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(own[name])
     out = None
     for r in rules:
         if all(v in views for v in r.requires):
-            part = spark.sql(r.sql).select(F.lit(r.id).alias("rule_id"), "source_id", "node_id", "start_row", "message")
+            text = re.sub(r"\b(" + "|".join(map(re.escape, own)) + r")\b(?!')", lambda m: own[m[1]], r.sql)
+            part = spark.sql(text).select(F.lit(r.id).alias("rule_id"), "source_id", "node_id", "start_row", "message")
             out = part if out is None else out.unionByName(part)
+    for name in own.values():
+        spark.catalog.dropTempView(name)
     return out if out is not None else spark.createDataFrame([], "rule_id string, source_id string, node_id string, start_row int, message string")
 
 

@@ -40,6 +40,15 @@ def at_position(facts: DataFrame, ast: DataFrame, source: str, row: int, col: in
     return facts.join(node_at(ast, source, row, col).select("node_id"), "node_id", "left_semi")
 
 
+def _replaced(index, df: DataFrame) -> DataFrame:
+    """The state of an index after a change, written, so that changes don't pile up in its plan. The state
+    before stays for plans that were made from it, those before that go."""
+    ws = index.__dict__.setdefault("_ws", Workspace(df.sparkSession, "index"))
+    new = ws.write(df)
+    ws.keep(new, index.df)
+    return new
+
+
 class VectorIndex:
     """Vectors by key with upsert, get, search, len and clear; other dimensions raise."""
 
@@ -53,7 +62,7 @@ class VectorIndex:
 
     def upsert(self, new: DataFrame) -> VectorIndex:
         fresh = self._checked(new).dropDuplicates([self.key])
-        self.df = self.df.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh)
+        self.df = _replaced(self, self.df.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh))
         return self
 
     def get(self, key) -> DataFrame:
@@ -78,7 +87,7 @@ class TextIndex:
 
     def upsert(self, new: DataFrame) -> TextIndex:
         fresh = new.select(self.key, self.text).dropDuplicates([self.key])
-        self.df = self.df.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh)
+        self.df = _replaced(self, self.df.join(fresh.select(self.key), self.key, "left_anti").unionByName(fresh))
         return self
 
     def remove(self, keys: DataFrame) -> TextIndex:
